@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import tidemark as tm
@@ -114,11 +114,8 @@ def tabular_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _event_stats(spark, sf_dir, "event_type")
-    total = tm.series_to_vectors(stats, ["running_cumulative_sum"], "days_elapsed", "event_type").select(
-        "event_type", F.array_max("running_cumulative_sum").alias("total")
-    )
-    halves = stats.join(total, "event_type")
-    return tm.first_reaching(halves, F.col("total") / 2, "event_type")
+    total = F.max("running_cumulative_sum").over(Window.partitionBy("event_type"))
+    return tm.first_reaching(stats.withColumn("half", total / 2), F.col("half"), "event_type")
 
 
 def running_total_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,25 +148,27 @@ def poisson_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model, intercept=6, slope=6)
 
 
-def _keyed_fit(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    model = tm.fit_stats(_event_stats(spark, sf_dir, by), by)
-    return _rounded(model.select(by, "intercept", "slope", "n_points"), intercept=6, slope=6)
-
-
 def poisson_fit_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed_fit(spark, sf_dir, "event_type")
+    model = tm.fit_poisson(_event_stats(spark, sf_dir, "event_type"), by="event_type")
+    model = model.select("event_type", "intercept", "slope", "n_points")
+    return _rounded(model, intercept=6, slope=6)
 
 
 def poisson_fit_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed_fit(spark, sf_dir, "user_id")
+    model = tm.fit_counts(tm.daily_counts(_events(spark, sf_dir), "ts", "user_id"), "user_id")
+    return _rounded(model.select("user_id", "intercept", "slope", "n_points"), intercept=6, slope=6)
+
+
+def _order_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.fit_counts(daily_counts(spark, sf_dir))
 
 
 def _keyed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.fit_stats(_event_stats(spark, sf_dir, "event_type"), "event_type")
+    return tm.fit_counts(tm.daily_counts(_events(spark, sf_dir), "ts", "event_type"), "event_type")
 
 
 def forecast_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tm.forecast_until(tm.fit_stats(_order_stats(spark, sf_dir)), _twice_total())
+    rows = tm.forecast_until(_order_model(spark, sf_dir), _twice_total())
     return _rounded(rows, tagCount=2)
 
 
@@ -196,7 +195,7 @@ def _predict_twice(csum, days):
 
 
 def crossing_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.crossing_date(tm.fit_stats(_order_stats(spark, sf_dir)), _twice_total())
+    return tm.crossing_date(_order_model(spark, sf_dir), _twice_total())
 
 
 def crossing_date_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,18 +207,20 @@ def actual_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tm.predicted_series(tm.fit_stats(_order_stats(spark, sf_dir)), _twice_total())
+    rows = tm.predicted_series(_order_model(spark, sf_dir), _twice_total())
     return _rounded(rows, tagCount=2)
 
 
 def combined_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _order_stats(spark, sf_dir)
-    return _rounded(tm.combined_series(stats, tm.fit_stats(stats), _twice_total()), tagCount=2)
+    counts = daily_counts(spark, sf_dir)
+    rows = tm.combined_series(tm.stats_from_counts(counts), tm.fit_counts(counts), _twice_total())
+    return _rounded(rows, tagCount=2)
 
 
 def combined_series_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _event_stats(spark, sf_dir, "event_type")
-    model = tm.fit_stats(stats, "event_type")
+    counts = tm.daily_counts(_events(spark, sf_dir), "ts", "event_type")
+    stats = tm.stats_from_counts(counts, "event_type")
+    model = tm.fit_counts(counts, "event_type")
     return _rounded(tm.combined_series(stats, model, _twice_total(), "event_type"), tagCount=2)
 
 

@@ -45,7 +45,7 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = session("oracle_check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark = session("oracle_check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = oracle_connection(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():

@@ -22,7 +22,7 @@ from tidemark.operators.threshold import first_reaching
 from tidemark.operators.totals import days_elapsed, running_total, running_total_rows
 from tidemark.operators.vectors import apply_series, series_to_vectors, vectors_to_rows
 from tidemark.plans.report import actual_series, combined_series, predicted_series
-from tidemark.plans.stats import fit_stats, series_stats, stats_from_counts, stats_vectors
+from tidemark.plans.stats import fit_counts, fit_stats, series_stats, stats_from_counts, stats_vectors
 from tidemark.sources.catalog import (
     describe_columns,
     list_tables,
@@ -63,6 +63,7 @@ __all__ = [
     "event_listing",
     "first_reaching",
     "first_wins",
+    "fit_counts",
     "fit_poisson",
     "fit_poisson_distributed",
     "fit_stats",

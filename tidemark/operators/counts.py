@@ -25,12 +25,13 @@ def daily_counts(df: DataFrame, time_col: str, by: str | Sequence[str] | None =
 def date_bounds(counts: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
     """First and last day with events: ``(by..., first_day, last_day)``.
 
-    Takes the counts rather than the events. Reading ``daily_count`` keeps that
-    column in the plan below, so that bounds and series share one aggregation
-    exchange and the source is scanned once.
+    Takes the counts rather than the events. With the same null filter as the
+    series and with ``daily_count`` kept in use, the plan below is the one of
+    the series, so both share one aggregation exchange and one scan.
     """
     seen = F.when(F.col("daily_count") > 0, F.col("date"))
-    return counts.groupBy(*key_list(by)).agg(
+    dated = counts.where(F.col("date").isNotNull())
+    return dated.groupBy(*key_list(by)).agg(
         F.min(seen).alias("first_day"), F.max(seen).alias("last_day")
     )
 

@@ -28,9 +28,11 @@ def join_spine(
     """Left join of spine and counts on key and day, with defaults in the gaps.
 
     No broadcast hint: counts grow with keys and days, and Spark picks a
-    broadcast by measured size.
+    broadcast by measured size. Undated counts match nothing; dropping them up
+    front gives the counts the same plan as in ``date_bounds``.
     """
     keys = key_list(by)
+    counts = counts.where(F.col("date").isNotNull())
     on = F.col("spine.date") == F.col("counts.date")
     if keys:
         on = on & same_keys("spine", "counts", keys)
@@ -99,8 +101,8 @@ def densify(
     ``max_gap_days`` makes a longer gap fail the job instead of exploding.
     """
     keys = key_list(by)
-    dated = counts.select(*keys, "date", *fill)
-    row = _global_bounds(dated, bounds, keys)
+    dated = counts.select(*keys, "date", *fill).where(F.col("date").isNotNull())
+    row = _global_bounds(dated, bounds, keys, fill)
     rows = expand_gaps(dated, keys, row, {}, max_gap_days)
     return rows.select(
         *keys,
@@ -114,9 +116,14 @@ def densify(
     )
 
 
-def _global_bounds(dated: DataFrame, bounds: str, keys: Sequence[str]) -> DataFrame | None:
+def _global_bounds(
+    dated: DataFrame, bounds: str, keys: Sequence[str], fill: Mapping[str, object]
+) -> DataFrame | None:
     if bounds not in ("per_key", "global"):
         raise ValueError(f"bounds must be per_key or global, not {bounds}")
     if bounds == "per_key" or not keys:
         return None
-    return dated.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    # the extremes are those of the date; naming the other columns keeps them in
+    # the plan below, which is then shared with the series instead of run twice
+    row = F.struct("date", *fill)
+    return dated.agg(F.min(row)["date"].alias("first_day"), F.max(row)["date"].alias("last_day"))

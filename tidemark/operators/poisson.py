@@ -17,7 +17,8 @@ from tidemark.functions.columns import key_list
 CALENDAR_DAYS = 3_652_059
 MAX_STEPS = 25
 MAX_HALVINGS = 30
-STEP_TOLERANCE = 1e-11
+STEP_TOLERANCE = 1e-8  # convergence is quadratic, so the error left is far smaller
+CHUNK_POINTS = 1 << 18
 
 COEFFICIENTS = T.StructType(
     [T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())]
@@ -40,35 +41,32 @@ def newton_fit(
     spread = lambda values: np.repeat(values, sizes)
 
     # centre and scale the predictor so the normal equations stay well conditioned
-    n = per_series(weight)
-    centre = per_series(weight * x) / n
+    centre = per_series(weight * x) / per_series(weight)
     z = x - spread(centre)
     scale = np.maximum.reduceat(np.abs(z), starts)
     flat = scale == 0
     z = z / spread(np.where(flat, 1.0, scale))
 
-    # first guess: least squares on the log values, weighted by the values
-    mean = total / weight
-    b0, b1 = _solve(per_series, weight * (mean + 0.1), z, weight * (mean + 0.1) * np.log(mean + 0.1))
-
-    def likelihood(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    def evaluate(c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         eta = spread(c0) + spread(c1) * z
         with np.errstate(over="ignore", invalid="ignore"):
-            return per_series(total * eta - weight * np.exp(eta))
+            mu = weight * np.exp(eta)
+            return mu, per_series(total * eta - mu)
 
-    current = likelihood(b0, b1)
+    # first guess: least squares on the log values, weighted by the values
+    raised = total / weight + 0.1
+    b0, b1 = _solve(per_series, weight * raised, z, weight * raised * np.log(raised))
+    mu, current = evaluate(b0, b1)
     for _ in range(MAX_STEPS):
-        mu = weight * np.exp(spread(b0) + spread(b1) * z)
         d0, d1 = _solve(per_series, mu, z, total - mu)
         size = np.ones_like(d0)
         for _ in range(MAX_HALVINGS):
-            trial = likelihood(b0 + size * d0, b1 + size * d1)
+            mu, trial = evaluate(b0 + size * d0, b1 + size * d1)
             worse = ~(trial >= current - 1e-9 * np.abs(current))
             if not worse.any():
                 break
             size = np.where(worse, size / 2, size)
-        b0, b1 = b0 + size * d0, b1 + size * d1
-        current = likelihood(b0, b1)
+        b0, b1, current = b0 + size * d0, b1 + size * d1, trial
         if max(np.abs(d0).max(), np.abs(d1).max()) < STEP_TOLERANCE:
             break
 
@@ -92,14 +90,39 @@ def _solve(per_series, weight, z, score):
 
 
 @F.arrow_udf(COEFFICIENTS)
-def _fit_batch(x: pa.Array, weight: pa.Array, total: pa.Array) -> pa.Array:
-    """One row per series, each column a list of numbers: fit the batch at once."""
-    lengths = np.diff(x.offsets.to_numpy())
-    flat = [column.flatten().to_numpy(zero_copy_only=False).astype(float) for column in (x, weight, total)]
-    intercept, slope = newton_fit(*flat, (np.cumsum(lengths) - lengths).astype(int))
+def _fit_batch(points: pa.Array) -> pa.Array:
+    """Fit each list of points of the batch.
+
+    A point has ``x`` and ``total``; with ``weight`` it stands for that many rows
+    at ``x``, with ``run`` for one row at each of that many offsets from ``x`` on.
+    """
+    flat = points.flatten()
+    names = {flat.type.field(i).name for i in range(flat.type.num_fields)}
+    column = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+    x, total = column("x").astype(float), column("total").astype(float)
+    weight = column("weight").astype(float) if "weight" in names else np.ones_like(x)
+    run = column("run") if "run" in names else np.ones(len(x), dtype=np.int64)
+
+    lengths = np.diff(points.offsets.to_numpy())
+    starts = (np.cumsum(lengths) - lengths).astype(np.int64)
+    rows_to = np.cumsum(run)
+    ends = rows_to[starts + lengths - 1]  # points laid out up to each series' end
+    # whole series by the chunk, which bounds memory and keeps arrays in cache
+    edges = np.flatnonzero(np.diff(ends // CHUNK_POINTS)) + 1
+    fits = []
+    for part in np.split(np.arange(len(lengths)), edges):
+        rows = slice(starts[part[0]], starts[part[-1]] + lengths[part[-1]])
+        repeat = run[rows]
+        first = np.cumsum(repeat) - repeat
+        step = np.arange(repeat.sum()) - np.repeat(first, repeat)
+        begin = first[starts[part] - rows.start]
+        columns = [np.repeat(values[rows], repeat) for values in (x, weight, total)]
+        fits.append(newton_fit(columns[0] + step, *columns[1:], begin))
+    intercept, slope = (np.concatenate(values) for values in zip(*fits, strict=True))
     missing = np.isnan(intercept)
-    columns = [pa.array(values, mask=missing) for values in (intercept, slope)]
-    return pa.StructArray.from_arrays(columns, ["intercept", "slope"])
+    return pa.StructArray.from_arrays(
+        [pa.array(intercept, mask=missing), pa.array(slope, mask=missing)], ["intercept", "slope"]
+    )
 
 
 def fit_poisson(
@@ -108,39 +131,54 @@ def fit_poisson(
     y: str = "running_cumulative_sum",
     by: str | Sequence[str] | None = None,
     origin: str | None = None,
+    one_row_per_x: bool = False,
+    run: str | None = None,
 ) -> DataFrame:
     """Fit ``y ~ x`` per key: ``(by..., intercept, slope, n_points, last_x, last_y)``.
 
     With ``origin``, a date column, also its minimum as ``min_date``.
 
-    ``x`` is a day offset. Rows are first reduced to a count and a sum per key
-    and offset, which leaves the estimate unchanged and bounds a key by the days
-    of the calendar, however many rows it has. Many keys share one Arrow batch
-    and are fitted together. Keys without a usable row are absent; a key whose
-    values are all zero has null coefficients.
+    ``x`` is a day offset. Unless ``one_row_per_x`` says that a key has each
+    offset once, rows are first reduced to a count and a sum per key and offset,
+    which leaves the estimate unchanged and bounds a key by the days of the
+    calendar, however many rows it has. ``run`` names a column of how many
+    offsets, from ``x`` on, a row stands for; it implies ``one_row_per_x``. Many
+    keys share one Arrow batch and are fitted together. Keys without a usable
+    row are absent; a key whose values are all zero has null coefficients.
     """
     keys = key_list(by)
     if not isinstance(series.schema[x].dataType, T.IntegralType):
         raise TypeError(f"{x} must hold whole days; use fit_poisson_distributed for other predictors")
     limit = F.raise_error(f"{x} is not a day offset; use fit_poisson_distributed").cast("bigint")
-    offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint")
-    extra = [F.min(origin).alias("min_date")] if origin else []
-    points = (
-        series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*keys, offset.alias("x"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("double").alias("s"), *extra)
-    )
-    extra = [F.min("min_date").alias("min_date")] if origin else []
+    offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint").alias("x")
+    usable = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    origins = [F.col(origin).alias("min_date")] if origin else []
+    total, one = F.col(y).cast("double").alias("total"), F.lit(1).cast("bigint")
+    last_x, last_y, n_points = F.col("x"), F.col("total"), F.count(F.lit(1))
+    if run or one_row_per_x:
+        lengths = [F.col(run).cast("bigint").alias("run")] if run else []
+        points = usable.select(*keys, offset, *lengths, total, *origins)
+        fields = ["x", *(["run"] if run else []), "total"]
+        if run:
+            last_x, n_points = F.col("x") + F.col("run") - 1, F.sum("run")
+    else:
+        origins = [F.min(origin).alias("min_date")] if origin else []
+        points = usable.groupBy(*keys, offset).agg(
+            F.sum(one).alias("weight"), F.sum(total).alias("total"), *origins
+        )
+        fields = ["x", "weight", "total"]
+        last_y, n_points = F.col("total") / F.col("weight"), F.sum("weight")
+    origins = [F.min("min_date").alias("min_date")] if origin else []
     vectors = points.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("x", "n", "s"))).alias("p"),
-        F.sum("n").alias("n_points"),
-        F.max("x").alias("last_x"),
-        F.max_by(F.col("s") / F.col("n"), "x").alias("last_y"),
-        *extra,
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("points"),
+        n_points.alias("n_points"),
+        F.max(last_x).alias("last_x"),
+        F.max_by(last_y, "x").alias("last_y"),
+        *origins,
     )
-    fitted = vectors.where(F.size("p") > 0).withColumn("fit", _fit_batch("p.x", "p.n", "p.s"))
-    origins = ["min_date"] if origin else []
-    return fitted.select(*keys, "fit.intercept", "fit.slope", "n_points", "last_x", "last_y", *origins)
+    fitted = vectors.where(F.size("points") > 0).withColumn("fit", _fit_batch("points"))
+    kept = ["n_points", "last_x", "last_y", *(["min_date"] if origin else [])]
+    return fitted.select(*keys, "fit.intercept", "fit.slope", *kept)
 
 
 def fit_poisson_distributed(

@@ -113,11 +113,11 @@ def _with_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     splits = sample.select(F.array_distinct(F.array_compact(cut)).alias("splits")).scalar()
 
     # binary search in the split array, one halving step per projection
-    rows = df.withColumn("_bucket", F.lit(0))
+    rows = df.withColumns({"_bucket": F.lit(0), "_position": position})
     for exponent in reversed(range(math.floor(math.log2(buckets)) + 1)):
         step = 1 << exponent
         probe = F.get(splits, F.col("_bucket") + (step - 1))
         rows = rows.withColumn(
-            "_bucket", F.col("_bucket") + F.when(probe <= position, step).otherwise(0)
+            "_bucket", F.col("_bucket") + F.when(probe <= F.col("_position"), step).otherwise(0)
         )
-    return rows
+    return rows.drop("_position")

@@ -6,6 +6,7 @@ SERIES_STATS = """
 WITH counts AS (
   SELECT to_date(created_at) AS date, count(*) AS daily_count
   FROM {events}
+  WHERE to_date(created_at) IS NOT NULL
   GROUP BY ALL
 ),
 bounds AS (

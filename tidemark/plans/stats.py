@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 from tidemark.functions.columns import key_list
 from tidemark.functions.dates import days_between
 from tidemark.operators.counts import daily_counts, date_bounds
@@ -45,11 +46,7 @@ def stats_from_counts(
     if bounds not in ("per_key", "global"):
         raise ValueError(f"bounds must be per_key or global, not {bounds}")
     row = date_bounds(counts) if bounds == "global" and keys else None
-    so_far = (
-        Window.partitionBy(*keys)
-        .orderBy("date")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    so_far = _so_far(keys)
     carry = {
         "total": F.sum("daily_count").over(so_far),
         "first_date": F.first("date").over(so_far),
@@ -66,6 +63,11 @@ def stats_from_counts(
     )
 
 
+def _so_far(keys: Sequence[str]) -> WindowSpec:
+    ordered = Window.partitionBy(*keys).orderBy("date")
+    return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def stats_vectors(stats: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
     """The model's view of the statistics: ``(by..., days_elapsed, csum)``."""
     return stats.select(*key_list(by), "days_elapsed", F.col("running_cumulative_sum").alias("csum"))
@@ -73,4 +75,25 @@ def stats_vectors(stats: DataFrame, by: str | Sequence[str] | None = None) -> Da
 
 def fit_stats(stats: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
     """Trend of the running total per key, with the first date of the series."""
-    return fit_poisson(stats, "days_elapsed", "running_cumulative_sum", by, origin="date")
+    return fit_poisson(
+        stats, "days_elapsed", "running_cumulative_sum", by, origin="date", one_row_per_x=True
+    )
+
+
+def fit_counts(counts: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
+    """The model of ``fit_stats`` on ``stats_from_counts``, without its dense rows.
+
+    The running total stands still in a gap, so a day and the gap after it go to
+    the fit as one run. For sparse keys that is a fraction of the rows.
+    """
+    keys = key_list(by)
+    so_far = _so_far(keys)
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    runs = counts.where(F.col("date").isNotNull()).select(
+        *keys,
+        "date",
+        days_between(F.first("date").over(so_far), "date").alias("days_elapsed"),
+        F.coalesce(days_between("date", following), F.lit(1)).alias("run_days"),
+        F.sum("daily_count").over(so_far).alias("total"),
+    )
+    return fit_poisson(runs, "days_elapsed", "total", by, origin="date", run="run_days")
