@@ -1,0 +1,31 @@
+import warnings
+from pathlib import Path
+
+import pytest
+from oracle_check import differences, oracle_connection
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return oracle_connection(SF_DIR)
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query_equals_oracle(spark, connection, name):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert differences(spark, connection, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) == []
+
+
+def test_flagship(spark):
+    assert entry.entry(spark).count() == 2405

@@ -55,7 +55,9 @@ def forecast_range(
         .when(F.col("exact") - F.col("last_x") > max_horizon, "horizon")
         .otherwise("reached")
     )
-    last = F.least(F.col("exact"), F.greatest(F.col("last_x") + max_horizon, F.col("first_x")))
+    # least() skips nulls, so the case of no crossing is kept out of it
+    stop = F.greatest(F.col("last_x") + max_horizon, F.col("first_x"))
+    last = F.when(F.col("exact").isNotNull(), F.least("exact", stop))
     return model.withColumns({"status": status, "last_x_forecast": last}).drop("goal", "root", "exact")
 
 

@@ -44,8 +44,10 @@ def newton_fit(
     centre = per_series(weight * x) / per_series(weight)
     z = x - spread(centre)
     scale = np.maximum.reduceat(np.abs(z), starts)
-    flat = scale == 0
-    z = z / spread(np.where(flat, 1.0, scale))
+    z = z / spread(np.where(scale == 0, 1.0, scale))
+    # one offset or one value: the slope is zero, not a rounding error near it
+    mean = total / weight
+    flat = (scale == 0) | (np.maximum.reduceat(mean, starts) == np.minimum.reduceat(mean, starts))
 
     def evaluate(c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         eta = spread(c0) + spread(c1) * z
@@ -54,7 +56,7 @@ def newton_fit(
             return mu, per_series(total * eta - mu)
 
     # first guess: least squares on the log values, weighted by the values
-    raised = total / weight + 0.1
+    raised = mean + 0.1
     b0, b1 = _solve(per_series, weight * raised, z, weight * raised * np.log(raised))
     mu, current = evaluate(b0, b1)
     for _ in range(MAX_STEPS):
@@ -70,8 +72,10 @@ def newton_fit(
         if max(np.abs(d0).max(), np.abs(d1).max()) < STEP_TOLERANCE:
             break
 
+    with np.errstate(divide="ignore"):
+        level = np.log(per_series(total) / per_series(weight))
     slope = np.where(flat, 0.0, b1 / np.where(flat, 1.0, scale))
-    intercept = b0 - slope * centre
+    intercept = np.where(flat, level, b0 - slope * centre)
     empty = per_series(total) == 0  # the optimum is at minus infinity
     return np.where(empty, np.nan, intercept), np.where(empty, np.nan, slope)
 

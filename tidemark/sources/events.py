@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tidemark.functions.arrays import zip_vectors
 from tidemark.functions.columns import as_column
 
 EVENT_FIELDS = "slug string, created_at string"
@@ -46,11 +47,11 @@ def unnest_documents(
 ) -> DataFrame:
     """One row per array element, keeping only ``fields`` of it.
 
-    ``explode`` followed by field access lets the optimizer prune the unused
-    nested fields out of columnar files too.
+    The fields are taken as arrays and zipped back, since the optimizer prunes
+    nested columns of a scan by such paths but not through ``explode``.
     """
-    rows = docs.select(F.explode(array_field).alias("row"))
-    return rows.select(*[F.col(f"row.{field}").alias(field) for field in fields])
+    vectors = [F.col(f"{array_field}.{field}").alias(field) for field in fields]
+    return docs.select(*vectors).select(F.inline(zip_vectors(*fields)))
 
 
 def parse_day(text: Column | str) -> Column:
