@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import tidemark as tm
 from tidemark.plans.sql import SERIES_STATS
+from tidemark.sources.events import document_schema
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -21,16 +22,18 @@ def _twice_total() -> Column:
     return 2 * F.col("last_y")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tm.read_table(spark, f"{sf_dir}/{name}.parquet")
+ORDERS = """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+    o_orderdate timestamp_ntz, o_orderpriority string"""
+EVENTS = """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+    props string"""
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders")
+    return tm.read_table(spark, f"{sf_dir}/orders.parquet", schema=ORDERS)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events")
+    return tm.read_table(spark, f"{sf_dir}/events.parquet", schema=EVENTS)
 
 
 def _order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +244,7 @@ def record_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON document per order: a dated tag and one whose date is no date."""
+    """A document per order: a dated tag and one whose date is no date."""
 
     def tag(slug: Column, created_at: Column) -> Column:
         extra = F.col("o_orderpriority").alias("extra")
@@ -252,13 +255,14 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(slug, tm.iso_date("o_orderdate")),
         tag(F.concat(slug, F.lit("-status")), F.col("o_orderstatus")),
     )
-    text = F.to_json(F.struct(tags.alias("tags"))).alias("text")
-    schema = tm.sources.events.document_schema()
-    return _orders(spark, sf_dir).select(text).select(F.from_json("text", schema).alias("doc")).select("doc.*")
+    return _orders(spark, sf_dir).select(tags.alias("tags"))
 
 
 def ingest_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.parse_days(tm.unnest_documents(_order_documents(spark, sf_dir)))
+    """The documents as JSON text, read with the declared schema."""
+    texts = _order_documents(spark, sf_dir).select(F.to_json(F.struct("tags")).alias("text"))
+    docs = texts.select(F.from_json("text", document_schema()).alias("doc")).select("doc.*")
+    return tm.parse_days(tm.unnest_documents(docs))
 
 
 def date_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +296,8 @@ def strict_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = tm.read_table(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "1997-01-01", "1998-01-01")
+    path, year = f"{sf_dir}/orders.parquet", ("1997-01-01", "1998-01-01")
+    orders = tm.read_table(spark, path, "o_orderdate", *year, schema=ORDERS)
     return tm.series_stats(orders, "o_orderdate")
 
 

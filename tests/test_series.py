@@ -181,3 +181,16 @@ def test_first_reaching(spark):
     for key in found:
         days = [r[1] for r in expected_stats(sparse(8)) if r[0] == key and r[3] >= 10]
         assert found[key] == (min(days) if days else None)
+
+
+@pytest.mark.parametrize("name", ["day", "x", "n", "total", "weight", "run", "goal", "root", "rows", "value", "slug"])
+def test_key_names_do_not_clash_with_internal_columns(spark, name):
+    df = spark.createDataFrame(sparse(9), f"{name} string, at date")
+    counts = tm.daily_counts(df, "at", name)
+    stats = tm.stats_from_counts(counts, name, "global")
+    assert tm.densify(counts, name, bounds="global").count() == stats.count()
+    models = [tm.fit_counts(counts, name), tm.fit_poisson(tm.stats_from_counts(counts, name), by=name, origin="date")]
+    keys = {row[name] for row in counts.where("date IS NOT NULL").collect()}
+    for model in models:
+        assert {row[name] for row in tm.crossing_date(model, 1e4, name).collect()} == keys
+    assert tm.running_total_rows(df, F.lit(1), "at", name).columns == [name, "at", "running_total"]

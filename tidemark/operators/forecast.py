@@ -19,7 +19,7 @@ def predict_response(intercept: Column | str, slope: Column | str, x: Column | s
 def forecast_range(
     model: DataFrame, target: Column | float, max_horizon: int = CALENDAR_DAYS
 ) -> DataFrame:
-    """Add ``first_x``, ``last_x_forecast`` and ``status`` to each model row.
+    """Add ``_first_x``, ``_last_x`` and ``status`` to each model row.
 
     The first offset with a prediction of at least ``target`` is solved from the
     coefficients, not searched for. ``status`` is
@@ -29,36 +29,28 @@ def forecast_range(
     * ``horizon``: it is met later, the forecast stops at the horizon,
     * ``no_crossing``: it is never met, there are no forecast rows.
     """
-    goal, first = as_column(target).cast("double"), F.col("last_x") + 1
-    at = lambda x: predict_response("intercept", "slope", x)
-    model = model.withColumns({"goal": goal, "first_x": first})
+    at = "exp(intercept + slope * ({}))".format
+    past = f"(_goal <= 0 OR {at('_first_x')} >= _goal)"
     # clamp before the cast to bigint, which fails on overflow
-    root = (F.ln("goal") - F.col("intercept")) / F.col("slope")
-    beyond = F.col("first_x") + max_horizon
-    whole = F.least(F.ceil(F.least(root, beyond.cast("double"))), beyond)
-    past = (F.col("goal") <= 0) | (at("first_x") >= F.col("goal"))
-    model = model.withColumn(
-        "root",
-        F.when(past, F.col("first_x")).when(F.col("slope") > 0, F.greatest(whole, "first_x")),
-    )
+    root = f"CAST(ceil(least((ln(_goal) - intercept) / slope, _first_x + {max_horizon})) AS BIGINT)"
+    model = model.withColumns({"_goal": as_column(target).cast("double"), "_first_x": F.expr("last_x + 1")})
+    solved = f"CASE WHEN {past} THEN _first_x WHEN slope > 0 THEN greatest({root}, _first_x) END"
+    model = model.withColumn("_root", F.expr(solved))
     # rounding can put the solved offset one day off either way
-    shift = (
-        F.when((F.col("root") > F.col("first_x")) & (at(F.col("root") - 1) >= F.col("goal")), -1)
-        .when(at("root") < F.col("goal"), 1)
-        .otherwise(0)
-    )
-    exact = F.when(past, F.col("root")).otherwise(F.col("root") + shift)
-    model = model.withColumn("exact", exact)
-    status = (
-        F.when(past, "already_past")
-        .when(F.col("exact").isNull(), "no_crossing")
-        .when(F.col("exact") - F.col("last_x") > max_horizon, "horizon")
-        .otherwise("reached")
-    )
+    exact = f"""CASE WHEN {past} THEN _root
+                     WHEN _root > _first_x AND {at("_root - 1")} >= _goal THEN _root - 1
+                     WHEN {at("_root")} < _goal THEN _root + 1
+                     ELSE _root END"""
+    model = model.withColumn("_exact", F.expr(exact))
+    status = f"""CASE WHEN {past} THEN 'already_past'
+                      WHEN _exact IS NULL THEN 'no_crossing'
+                      WHEN _exact - last_x > {max_horizon} THEN 'horizon'
+                      ELSE 'reached' END"""
     # least() skips nulls, so the case of no crossing is kept out of it
-    stop = F.greatest(F.col("last_x") + max_horizon, F.col("first_x"))
-    last = F.when(F.col("exact").isNotNull(), F.least("exact", stop))
-    return model.withColumns({"status": status, "last_x_forecast": last}).drop("goal", "root", "exact")
+    last = f"""CASE WHEN _exact IS NOT NULL
+                    THEN least(_exact, greatest(last_x + {max_horizon}, _first_x)) END"""
+    model = model.withColumns({"status": F.expr(status), "_last_x": F.expr(last)})
+    return model.drop("_goal", "_root", "_exact")
 
 
 def forecast_until(
@@ -74,9 +66,7 @@ def forecast_until(
     ``keep``. At least one row per key whose target is met. ``target`` may be an
     expression on the model columns.
     """
-    steps = F.when(
-        F.col("last_x_forecast").isNotNull(), F.sequence(F.col("first_x"), F.col("last_x_forecast"))
-    )
+    steps = F.expr("CASE WHEN _last_x IS NOT NULL THEN sequence(_first_x, _last_x) END")
     rows = forecast_range(model, target, max_horizon).withColumn("days_elapsed", F.explode(steps))
     predicted = predict_response("intercept", "slope", "days_elapsed")
     return rows.select(*key_list(by), *keep, "days_elapsed", predicted.alias("tagCount"), "status")
@@ -93,11 +83,8 @@ def crossing_date(
     Needs ``min_date`` in the model. Nothing is expanded: the day comes straight
     from the coefficients. Null unless the target is met.
     """
-    met = F.col("status").isin("reached", "already_past")
-    rows = forecast_range(model, target, max_horizon).withColumn(
-        "last_day", F.when(met, F.col("last_x_forecast"))
-    )
-    day = add_days("min_date", "last_day")
-    return rows.select(
-        *key_list(by), "status", "last_day", day.alias("crossing_date"), long_date(day).alias("crossing_text")
-    )
+    met = "CASE WHEN status IN ('reached', 'already_past') THEN _last_x END"
+    rows = forecast_range(model, target, max_horizon).withColumn("last_day", F.expr(met))
+    rows = rows.withColumn("crossing_date", add_days("min_date", "last_day"))
+    text = long_date("crossing_date").alias("crossing_text")
+    return rows.select(*key_list(by), "status", "last_day", "crossing_date", text)

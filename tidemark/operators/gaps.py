@@ -56,33 +56,32 @@ def expand_gaps(
 ) -> DataFrame:
     """Repeat each dated row over the days up to the next row of its key.
 
-    Adds ``day`` and the window columns of ``carry`` (evaluated on the sparse
+    Adds ``_day`` and the window columns of ``carry`` (evaluated on the sparse
     rows, in date order) to the input columns. With ``bounds`` (one row) a key
     also covers the days before its first and after its last row, and keeps
-    ``first_day`` and ``last_day``. One shuffle of the sparse rows and no join
-    of the dense ones.
+    ``_first_day``. One shuffle of the sparse rows and no join of the dense ones.
     """
     rows = rows.where(F.col("date").isNotNull())
     in_key = Window.partitionBy(*keys).orderBy("date")
-    following = F.lead("date").over(in_key)
+    windows = {"_next": F.lead("date").over(in_key), **carry}
     if bounds is None:
+        rows = rows.withColumns(windows)
         starts = F.col("date")
-        ends = F.coalesce(F.date_sub("next_date", 1), F.col("date"))
-        rows = rows.withColumns({"next_date": following, **carry})
+        ends = F.expr("coalesce(date_sub(_next, 1), date)")
     else:
         # bounds is a single aggregate row, so this broadcast cannot grow
-        starts = F.when(F.col("is_first"), F.least("first_day", "date")).otherwise(F.col("date"))
-        ends = F.coalesce(F.date_sub("next_date", 1), F.greatest("last_day", "date"))
-        first = F.lag("date").over(in_key).isNull()
-        rows = rows.withColumns({"next_date": following, "is_first": first, **carry})
-        rows = rows.crossJoin(F.broadcast(bounds))
+        ends_of_all = F.broadcast(bounds.toDF("_first_day", "_last_day"))
+        windows["_previous"] = F.lag("date").over(in_key)
+        rows = rows.withColumns(windows).crossJoin(ends_of_all)
+        starts = F.expr("CASE WHEN _previous IS NULL THEN least(_first_day, date) ELSE date END")
+        ends = F.expr("coalesce(date_sub(_next, 1), _last_day)")
     # rows that share a day keep their own day each; the last one fills the gap
     ends = F.greatest(ends, F.col("date"))
     if max_gap_days is not None:
         gap = F.datediff(ends, starts)
         message = F.format_string(f"gap of %d days exceeds max_gap_days={max_gap_days}", gap)
         ends = F.when(gap > max_gap_days, F.raise_error(message).cast("date")).otherwise(ends)
-    return rows.withColumn("day", F.explode(date_series(starts, ends)))
+    return rows.withColumn("_day", F.explode(date_series(starts, ends)))
 
 
 def densify(
@@ -106,9 +105,9 @@ def densify(
     rows = expand_gaps(dated, keys, row, {}, max_gap_days)
     return rows.select(
         *keys,
-        F.col("day").alias("date"),
+        F.col("_day").alias("date"),
         *[
-            F.when(F.col("day") == F.col("date"), zero_if_null(c, value))
+            F.when(F.col("_day") == F.col("date"), zero_if_null(c, value))
             .otherwise(F.lit(value))
             .alias(c)
             for c, value in fill.items()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tidemark.functions.columns import key_list
@@ -154,35 +154,37 @@ def fit_poisson(
     if not isinstance(series.schema[x].dataType, T.IntegralType):
         raise TypeError(f"{x} must hold whole days; use fit_poisson_distributed for other predictors")
     limit = F.raise_error(f"{x} is not a day offset; use fit_poisson_distributed").cast("bigint")
-    offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint").alias("x")
+    offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint")
     usable = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    origins = [F.col(origin).alias("min_date")] if origin else []
-    total, one = F.col(y).cast("double").alias("total"), F.lit(1).cast("bigint")
-    last_x, last_y, n_points = F.col("x"), F.col("total"), F.count(F.lit(1))
+    total = F.col(y).cast("double")
+    # the struct's fields are sorted by, and named for, _fit_batch
     if run or one_row_per_x:
-        lengths = [F.col(run).cast("bigint").alias("run")] if run else []
-        points = usable.select(*keys, offset, *lengths, total, *origins)
-        fields = ["x", *(["run"] if run else []), "total"]
-        if run:
-            last_x, n_points = F.col("x") + F.col("run") - 1, F.sum("run")
+        fields = {"x": offset, **({"run": F.col(run).cast("bigint")} if run else {}), "total": total}
+        dates = [F.col(origin).alias("_date")] if origin else []
+        points = usable.select(*keys, F.struct(*_named(fields)).alias("_p"), *dates)
     else:
-        origins = [F.min(origin).alias("min_date")] if origin else []
-        points = usable.groupBy(*keys, offset).agg(
-            F.sum(one).alias("weight"), F.sum(total).alias("total"), *origins
+        sums = {"weight": F.count(F.lit(1)), "total": F.sum(total)}
+        dates = [F.min(origin).alias("_date")] if origin else []
+        grouped = usable.groupBy(*keys, offset.alias("_x")).agg(
+            F.struct(*_named(sums)).alias("_s"), *dates
         )
-        fields = ["x", "weight", "total"]
-        last_y, n_points = F.col("total") / F.col("weight"), F.sum("weight")
-    origins = [F.min("min_date").alias("min_date")] if origin else []
+        fields = {"x": F.col("_x"), "weight": F.col("_s.weight"), "total": F.col("_s.total")}
+        points = grouped.select(*keys, F.struct(*_named(fields)).alias("_p"), *[d for d in ["_date"] if origin])
+    extra = [F.min("_date").alias("min_date")] if origin else []
     vectors = points.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("points"),
-        n_points.alias("n_points"),
-        F.max(last_x).alias("last_x"),
-        F.max_by(last_y, "x").alias("last_y"),
-        *origins,
+        F.sort_array(F.collect_list("_p")).alias("_points"),
+        F.sum("_p.run" if run else "_p.weight" if "weight" in fields else F.lit(1)).alias("n_points"),
+        F.max(F.expr("_p.x + _p.run - 1") if run else F.col("_p.x")).alias("last_x"),
+        F.max_by(F.expr("_p.total / _p.weight") if "weight" in fields else "_p.total", "_p.x").alias("last_y"),
+        *extra,
     )
-    fitted = vectors.where(F.size("points") > 0).withColumn("fit", _fit_batch("points"))
-    kept = ["n_points", "last_x", "last_y", *(["min_date"] if origin else [])]
-    return fitted.select(*keys, "fit.intercept", "fit.slope", *kept)
+    fitted = vectors.where(F.size("_points") > 0).withColumn("_fit", _fit_batch("_points"))
+    kept = ["n_points", "last_x", "last_y", *[d for d in ["min_date"] if origin]]
+    return fitted.select(*keys, "_fit.intercept", "_fit.slope", *kept)
+
+
+def _named(columns: Mapping[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def fit_poisson_distributed(
@@ -191,11 +193,21 @@ def fit_poisson_distributed(
     """Fit one series with Spark ML: ``(intercept, slope)``.
 
     For predictors with more distinct values than a calendar has days. Runs one
-    job per iteration when called, and two numbers return to the driver.
+    job per iteration when called, and two numbers return to the driver. Rows
+    that share a predictor value are first reduced to their count and mean; the
+    iterations then start from the shuffle files of that step, not the source.
     """
-    rows = series.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("label"))
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.dropna())
-    model = GeneralizedLinearRegression(family="poisson", link="log", maxIter=25, tol=1e-10).fit(features)
+    rows = (
+        series.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        .dropna()
+        .groupBy("x")
+        .agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    )
+    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    regression = GeneralizedLinearRegression(
+        family="poisson", link="log", maxIter=MAX_STEPS, tol=1e-10, weightCol="weight"
+    )
+    model = regression.fit(features)
     coefficients = [(float(model.intercept), float(model.coefficients[0]))]
     return series.sparkSession.createDataFrame(coefficients, "intercept double, slope double")
 

@@ -17,18 +17,21 @@ def key_profile(df: DataFrame, column: str, by: str | Sequence[str] | None = Non
     the elements of arrays, null for plain values. Texts that are no JSON object
     have no keys.
     """
-    objects = df.select(*key_list(by), F.try_parse_json(column).alias("doc"))
-    members = F.try_variant_get("doc", "$", "map<string,variant>")
-    rows = objects.select(*key_list(by), F.explode(members).alias("key", "value"))
-    kind = _kind(F.schema_of_variant("value"))
-    rows = rows.select(*key_list(by), "key", kind.alias("kind"), "value")
+    keys = key_list(by)
+    members = F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>")
+    rows = df.select(*keys, F.explode(members).alias("key", "_value"))
+    rows = rows.withColumn("kind", _kind(F.schema_of_variant("_value")))
     size = F.when(
-        F.col("kind") == "object", F.size(F.try_variant_get("value", "$", "map<string,variant>"))
-    ).when(F.col("kind") == "array", F.size(F.try_variant_get("value", "$", "array<variant>")))
-    return rows.withColumn("size", size.cast("bigint")).groupBy(*key_list(by), "key", "kind").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("size").alias("min_size"),
-        F.max("size").alias("max_size"),
+        F.col("kind") == "object", F.size(F.try_variant_get("_value", "$", "map<string,variant>"))
+    ).when(F.col("kind") == "array", F.size(F.try_variant_get("_value", "$", "array<variant>")))
+    return (
+        rows.withColumn("_size", size.cast("bigint"))
+        .groupBy(*keys, "key", "kind")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.min("_size").alias("min_size"),
+            F.max("_size").alias("max_size"),
+        )
     )
 
 

@@ -24,8 +24,8 @@ def series_to_vectors(
     For series of at most one row per key and day.
     """
     sorted_rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
-    vectors = series.groupBy(*key_list(by)).agg(sorted_rows.alias("rows"))
-    return vectors.select(*key_list(by), *[F.col(f"rows.{c}").alias(c) for c in columns])
+    vectors = series.groupBy(*key_list(by)).agg(sorted_rows.alias("_rows"))
+    return vectors.select(*key_list(by), *[F.col(f"_rows.{c}").alias(c) for c in columns])
 
 
 def vectors_to_rows(

@@ -48,18 +48,17 @@ def stats_from_counts(
     row = date_bounds(counts) if bounds == "global" and keys else None
     so_far = _so_far(keys)
     carry = {
-        "total": F.sum("daily_count").over(so_far),
-        "first_date": F.first("date").over(so_far),
+        "_total": F.sum("daily_count").over(so_far),
+        "_first_date": F.first("date").over(so_far),
     }
     rows = expand_gaps(counts, keys, row, carry, max_gap_days)
-    start = F.col("first_date") if row is None else F.col("first_day")
-    day, own = F.col("day"), F.col("date")
+    start = "_first_date" if row is None else "_first_day"
     return rows.select(
         *keys,
-        day.alias("date"),
-        F.when(day == own, F.col("daily_count")).otherwise(F.lit(0)).alias("filled_daily_count"),
-        F.when(day >= own, F.col("total")).otherwise(F.lit(0)).alias("running_cumulative_sum"),
-        days_between(start, day).alias("days_elapsed"),
+        F.col("_day").alias("date"),
+        F.expr("CASE WHEN _day = date THEN daily_count ELSE 0 END").alias("filled_daily_count"),
+        F.expr("CASE WHEN _day >= date THEN _total ELSE 0 END").alias("running_cumulative_sum"),
+        days_between(start, "_day").alias("days_elapsed"),
     )
 
 
@@ -92,8 +91,8 @@ def fit_counts(counts: DataFrame, by: str | Sequence[str] | None = None) -> Data
     runs = counts.where(F.col("date").isNotNull()).select(
         *keys,
         "date",
-        days_between(F.first("date").over(so_far), "date").alias("days_elapsed"),
-        F.coalesce(days_between("date", following), F.lit(1)).alias("run_days"),
-        F.sum("daily_count").over(so_far).alias("total"),
+        days_between(F.first("date").over(so_far), "date").alias("_x"),
+        F.coalesce(days_between("date", following), F.lit(1)).alias("_run"),
+        F.sum("daily_count").over(so_far).alias("_total"),
     )
-    return fit_poisson(runs, "days_elapsed", "total", by, origin="date", run="run_days")
+    return fit_poisson(runs, "_x", "_total", by, origin="date", run="_run")

@@ -97,13 +97,14 @@ def read_table(
     time_col: str | None = None,
     start: object = None,
     end: object = None,
+    schema: str | None = None,
 ) -> DataFrame:
     """Read Parquet, optionally within ``start <= time_col < end``.
 
-    The bounds are plain comparisons on the stored column, so they reach the
+    A declared ``schema`` saves the job that reads one from a file. The bounds are plain comparisons on the stored column, so they reach the
     scan as pushed filters and prune partitions and row groups.
     """
-    df = spark.read.parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if time_col is None:
         if start is not None or end is not None:
             raise ValueError("start and end need time_col")
