@@ -182,9 +182,14 @@ def forecast_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply_series_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forecast of ``forecast_by_key`` as a Python function of whole vectors."""
+    predict = tm.predict_vectors
+
+    def predict_twice(csum, days):  # nested, hence shipped to the workers by value
+        return predict(csum, days, 2 * csum[-1])
+
     rows = tm.apply_series(
         tm.stats_vectors(_event_stats(spark, sf_dir, "event_type"), "event_type"),
-        _predict_twice,
+        predict_twice,
         inputs=["csum", "days_elapsed"],
         schema="days_elapsed bigint, tagCount double",
         by="event_type",
@@ -193,10 +198,6 @@ def apply_series_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows, tagCount=2)
 
 
-def _predict_twice(csum, days):
-    return tm.predict_vectors(csum, days, 2 * csum[-1])
-
-
 def crossing_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.crossing_date(_order_model(spark, sf_dir), _twice_total())
 

@@ -1,9 +1,12 @@
 import datetime as dt
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from conftest import tuples
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import tidemark as tm
@@ -165,6 +168,25 @@ def test_chunks_do_not_change_the_fit(spark, monkeypatch):
     assert np.allclose(values(sliced), values(whole[5:9]), rtol=1e-9)
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import tidemark.operators.poisson as poisson
+
+    payload = tmp_path / "functions"
+    payload.write_bytes(cloudpickle.dumps((poisson._fit_batch.func, tm.predict_vectors)))
+    script = f"""
+import sys, numpy as np, pyarrow as pa
+from pyspark import cloudpickle
+fit, predict = cloudpickle.loads(open({str(payload)!r}, "rb").read())
+point = pa.struct([("x", pa.int64()), ("total", pa.float64())])
+print(fit(pa.array([[{{"x": 0, "total": 1.0}}, {{"x": 1, "total": 2.0}}]], pa.list_(point))).to_pylist())
+print(len(predict(np.array([1, 2]), np.array([0, 1]), 7.0)["tagCount"]))
+assert "tidemark" not in sys.modules
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split("\n")[1] == "2"
+
+
 def test_forecast_statuses(spark):
     rising = model_row(spark, 0.0, 0.1)
     rows = tm.forecast_until(rising, 3.0).orderBy("days_elapsed").collect()

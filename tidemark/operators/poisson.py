@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tidemark.functions.columns import key_list
 
+# Python workers get the functions of this module by value, so that executors need
+# no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Days in the years 1 to 9999, the range of a date.
 CALENDAR_DAYS = 3_652_059
 MAX_STEPS = 25
