@@ -6,14 +6,18 @@ for keyed series with sub-day time stamps. Every query reads whole tables.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-import tidemark as tm
-from tidemark.plans.sql import SERIES_STATS
-from tidemark.sources.events import document_schema
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import tidemark as tm  # noqa: E402
+from tidemark.plans.sql import SERIES_STATS  # noqa: E402
+from tidemark.sources.events import document_schema  # noqa: E402
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tidemark.functions.columns import as_column
 
+# Date text of the listing and of the crossing date.
+ISO_DATE = "yyyy-MM-dd"
+LONG_DATE = "EEE MMM dd yyyy"
+
 
 def day_of(when: Column | str) -> Column:
     """Truncate a date or time stamp to its day."""
@@ -14,12 +18,12 @@ def day_of(when: Column | str) -> Column:
 
 def iso_date(day: Column | str) -> Column:
     """Date as ``yyyy-MM-dd`` text."""
-    return F.date_format(as_column(day), "yyyy-MM-dd")
+    return F.date_format(as_column(day), ISO_DATE)
 
 
 def long_date(day: Column | str) -> Column:
     """Date as text such as ``Wed Mar 08 2023``."""
-    return F.date_format(as_column(day), "EEE MMM dd yyyy")
+    return F.date_format(as_column(day), LONG_DATE)
 
 
 def add_days(day: Column | str, days: Column | str | int) -> Column:

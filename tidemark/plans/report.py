@@ -11,6 +11,7 @@ from tidemark.functions.dates import add_days
 from tidemark.operators.forecast import forecast_until
 from tidemark.operators.poisson import CALENDAR_DAYS
 
+# The names of the two chart series.
 ACTUAL = "Actual Count"
 PREDICTED = "Predicted"
 

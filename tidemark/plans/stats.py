@@ -83,7 +83,8 @@ def fit_counts(counts: DataFrame, by: str | Sequence[str] | None = None) -> Data
     """The model of ``fit_stats`` on ``stats_from_counts``, without its dense rows.
 
     The running total stands still in a gap, so a day and the gap after it go to
-    the fit as one run. For sparse keys that is a fraction of the rows.
+    the fit as one run. For sparse keys that is a fraction of the rows. Keys run
+    over their own days; for common bounds use ``fit_stats``.
     """
     keys = key_list(by)
     so_far = _so_far(keys)

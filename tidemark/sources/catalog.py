@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the form of a line in the table listing.
+LISTING_LINE = '- name: "%s"'
+
 
 def register_table(df: DataFrame, name: str) -> DataFrame:
     """Give a frame a table name for SQL text and return it."""
@@ -33,7 +36,7 @@ def list_tables(spark: SparkSession) -> DataFrame:
 
 def table_listing(tables: DataFrame, name: str = "name") -> DataFrame:
     """One row of text with a line per table, in name order."""
-    line = F.format_string('- name: "%s"', F.col(name))
+    line = F.format_string(LISTING_LINE, F.col(name))
     lines = F.transform(F.sort_array(F.collect_list(F.struct(name, line.alias("line")))), lambda r: r.line)
     return tables.agg(F.array_join(lines, "\n").alias("listing"))
 
