@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tidemark.functions.columns import key_list
@@ -161,38 +161,34 @@ def fit_poisson(
         raise TypeError(f"{x} must hold whole days; use fit_poisson_distributed for other predictors")
     limit = F.raise_error(f"{x} is not a day offset; use fit_poisson_distributed").cast("bigint")
     offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint")
-    usable = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    total = F.col(y).cast("double")
-    # the struct's fields are sorted by, and named for, _fit_batch
-    if run or one_row_per_x:
-        fields = {"x": offset, **({"run": F.col(run).cast("bigint")} if run else {}), "total": total}
-        dates = [F.col(origin).alias("_date")] if origin else []
-        points = usable.select(*keys, F.struct(*_named(fields)).alias("_p"), *dates)
-    else:
-        sums = {"weight": F.count(F.lit(1)), "total": F.sum(total)}
-        dates = [F.min(origin).alias("_date")] if origin else []
-        grouped = usable.groupBy(*keys, offset.alias("_x")).agg(
-            F.struct(*_named(sums)).alias("_s"), *dates
+    points = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys,
+        offset.alias("_x"),
+        F.col(y).alias("_total"),
+        (F.col(run) if run else F.lit(1)).cast("bigint").alias("_run"),
+        F.lit(1).cast("bigint").alias("_weight"),
+        (F.col(origin) if origin else F.lit(None).cast("date")).alias("_date"),
+    )
+    if not run and not one_row_per_x:
+        points = points.groupBy(*keys, "_x", "_run").agg(
+            F.sum("_total").alias("_total"), F.sum("_weight").alias("_weight"), F.min("_date").alias("_date")
         )
-        fields = {"x": F.col("_x"), "weight": F.col("_s.weight"), "total": F.col("_s.total")}
-        points = grouped.select(*keys, F.struct(*_named(fields)).alias("_p"), *[d for d in ["_date"] if origin])
-    extra = [F.min("_date").alias("min_date")] if origin else []
+    # only what varies goes to Python; a list is sorted by offset, so that rounding
+    # does not depend on the order rows arrive in
+    names = ["x", "run", "total"] if run else ["x", "total"] if one_row_per_x else ["x", "weight", "total"]
+    point = F.struct(*[F.col(f"_{n}").cast("double" if n == "total" else "bigint").alias(n) for n in names])
     vectors = points.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_p")).alias("_points"),
-        F.sum("_p.run" if run else "_p.weight" if "weight" in fields else F.lit(1)).alias("n_points"),
-        F.max(F.expr("_p.x + _p.run - 1") if run else F.col("_p.x")).alias("last_x"),
-        F.max_by(F.expr("_p.total / _p.weight") if "weight" in fields else "_p.total", "_p.x").alias("last_y"),
-        *extra,
+        F.sort_array(F.collect_list(point)).alias("_points"),
+        F.expr("sum(_weight * _run)").alias("n_points"),
+        F.expr("max(_x + _run - 1)").alias("last_x"),
+        F.expr("max_by(_total / CAST(_weight AS DOUBLE), _x)").alias("last_y"),
+        F.min("_date").alias("min_date"),
     )
     fitted = vectors.where(F.size("_points") > 0).withColumn("_fit", _fit_batch("_points"))
-    kept = ["n_points", "last_x", "last_y", *[d for d in ["min_date"] if origin]]
+    kept = ["n_points", "last_x", "last_y", *(["min_date"] if origin else [])]
     return fitted.select(*keys, "_fit.intercept", "_fit.slope", *kept)
 
 
-def _named(columns: Mapping[str, Column]) -> list[Column]:
-    return [column.alias(name) for name, column in columns.items()]
-
-
 def fit_poisson_distributed(
     series: DataFrame, x: str = "days_elapsed", y: str = "running_cumulative_sum"
 ) -> DataFrame:
