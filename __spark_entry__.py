@@ -120,6 +120,14 @@ def tabular_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First day with half of all orders; the total is a one-row broadcast."""
+    counts = daily_counts(spark, sf_dir).where("date IS NOT NULL")
+    half = counts.agg((F.sum("daily_count") / 2).alias("half"))
+    stats = tm.stats_from_counts(counts).crossJoin(F.broadcast(half))
+    return tm.first_reaching(stats, F.col("half"))
+
+
+def threshold_day_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _event_stats(spark, sf_dir, "event_type")
     total = F.max("running_cumulative_sum").over(Window.partitionBy("event_type"))
     return tm.first_reaching(stats.withColumn("half", total / 2), F.col("half"), "event_type")
@@ -325,6 +333,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     listing_sorted,
     tabular_view,
     threshold_day,
+    threshold_day_by_key,
     running_total_by_key,
     running_total_rows,
     running_total_rows_by_key,
@@ -466,6 +475,9 @@ def oracle_sql() -> dict[str, str]:
                    CAST(csum AS VARCHAR) AS running_cumulative_sum, CAST(x AS VARCHAR) AS days_elapsed
             FROM s ORDER BY s.date""",
         "threshold_day": f"""
+            WITH {ORDER_STATS}
+            SELECT min(date) AS day FROM s WHERE csum >= (SELECT max(csum) / 2.0 FROM s)""",
+        "threshold_day_by_key": f"""
             WITH {TYPE_STATS}
             SELECT s.k AS event_type, min(date) AS day
             FROM s JOIN (SELECT k, max(csum) AS total FROM s GROUP BY k) w ON w.k = s.k

@@ -30,6 +30,7 @@ def executed_plan(df):
         "combined_series_by_key",
         "crossing_date_by_key",
         "threshold_day",
+        "threshold_day_by_key",
     ],
 )
 def test_one_scan(spark, name):
