@@ -150,6 +150,11 @@ def running_total_rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.running_total_rows(rows, "cents", ["ts", "event_id"], "event_type")
 
 
+def running_total_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return tm.running_total_rows(rows, F.lit(1), "o_orderdate", "o_orderstatus", peers=True)
+
+
 # --- model and forecast ----------------------------------------------------------
 
 
@@ -337,6 +342,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     running_total_by_key,
     running_total_rows,
     running_total_rows_by_key,
+    running_total_peers,
     poisson_fit,
     poisson_fit_distributed,
     poisson_fit_by_key,
@@ -496,6 +502,10 @@ def oracle_sql() -> dict[str, str]:
                    CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id
                                          ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
             FROM (SELECT event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)""",
+        "running_total_peers": """
+            SELECT o_orderkey, o_orderstatus, o_orderdate,
+                   count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS running_total
+            FROM orders""",
         "poisson_fit": f"""{_fit_sql(ORDER_STATS)}
             SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
         "poisson_fit_distributed": f"""{_fit_sql(ORDER_STATS)}

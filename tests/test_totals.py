@@ -40,6 +40,23 @@ def test_matches_a_sorted_loop(spark, keyed, buckets, parts):
     assert {row.id: row.running_total for row in out.collect()} == expected(rows, keyed)
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_peers_share_the_total_of_their_tie(spark, keyed):
+    rows = rows_of(3)
+    df = spark.createDataFrame(rows, "id bigint, key string, name string, value bigint").repartition(5)
+    out = tm.running_total_rows(df, "value", "name", "key" if keyed else None, buckets=9, peers=True)
+    got = out.collect()
+    assert len(got) == len(rows)
+    rank = lambda name: (name is None, name or "")
+    for row in got[:300]:
+        before = [
+            v
+            for _, key, name, v in rows
+            if v is not None and rank(name) <= rank(row.name) and (not keyed or key == row.key)
+        ]
+        assert row.running_total == (sum(before) if before else None)
+
+
 def test_more_buckets_than_rows_and_no_rows(spark):
     df = spark.createDataFrame([(2, 10), (1, 5)], "id int, value int")
     out = tm.running_total_rows(df, "value", "id", buckets=32)

@@ -50,9 +50,15 @@ def running_total_rows(
     by: str | Sequence[str] | None = None,
     out: str = "running_total",
     buckets: int | None = None,
+    peers: bool = False,
 ) -> DataFrame:
     """Running total over raw rows, ``order_by`` being unique within a key.
 
+    With ``peers`` it need not be: rows that tie get the total up to and with all
+    of them, which is SQL's default frame. Ties are then summed up before the
+    totals are taken and the totals joined back, so that a tie of any size is one
+    row until then; the join is left to Spark, which splits a skewed side.
+
     A plain window would sort all rows of a key, or without keys the whole
     table, in one task. Here rows go to buckets that are ranges of
     (key, order), each bucket gets a running sum of its own, and what the same
@@ -65,6 +71,13 @@ def running_total_rows(
     other passes read key and order columns only. Nulls sort last.
     """
     keys, order = key_list(by), key_list(order_by)
+    if peers:
+        position = [*keys, *order]
+        ties = df.groupBy(*position).agg(F.sum(as_column(value)).alias("_tied"))
+        totals = running_total_rows(ties, "_tied", order, keys, out, buckets)
+        on = same_keys("rows", "totals", position)
+        joined = df.alias("rows").join(totals.alias("totals"), on)
+        return joined.select(*[F.col(f"rows.{c}") for c in df.columns], F.col(f"totals.{out}"))
     spark = df.sparkSession
     if buckets is None:
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
