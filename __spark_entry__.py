@@ -19,6 +19,15 @@ import tidemark as tm  # noqa: E402
 from tidemark.plans.sql import SERIES_STATS  # noqa: E402
 from tidemark.sources.events import document_schema  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    from tidemark.llm import queries as llm  # noqa: E402
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ImportError:
+    corpus_pipeline = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -375,7 +384,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    named = {query.__name__: query for query in QUERIES}
+    if llm is not None:
+        named |= llm.queries()
+    if corpus_pipeline is not None:
+        named["pipeline"] = corpus_pipeline.run
+    return named
 
 
 # --- oracles (DuckDB) -----------------------------------------------------------
@@ -444,118 +458,121 @@ KEY_KIND = """CASE json_type(props, '$.' || key) WHEN 'OBJECT' THEN 'object' WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "daily_counts": """
-            SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS daily_count FROM orders GROUP BY 1""",
-        "daily_counts_by_key": """
-            SELECT user_id, event_type, CAST(ts AS DATE) AS date, count(*) AS daily_count
-            FROM events GROUP BY 1, 2, 3""",
-        "date_bounds": """
-            SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day
-            FROM orders""",
-        "min_date": "SELECT CAST(min(o_orderdate) AS DATE) AS min_date FROM orders",
-        "date_spine": f"WITH {ORDER_STATS} SELECT d AS date FROM spine",
-        "densify_daily": f"WITH {ORDER_STATS} SELECT date, n AS daily_count FROM s",
-        "densify_by_key": f"WITH {USER_STATS} SELECT k AS user_id, date, n AS daily_count FROM s",
-        "densify_by_key_global": """
-            WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS d, count(*) AS n
-                       FROM events GROUP BY 1, 2, 3),
-            spine AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL '1 day')) AS DATE) AS d FROM c),
-            keys AS (SELECT DISTINCT user_id, event_type FROM c)
-            SELECT keys.user_id, keys.event_type, spine.d AS date, coalesce(n, 0) AS daily_count
-            FROM keys CROSS JOIN spine
-            LEFT JOIN c ON c.user_id = keys.user_id AND c.event_type = keys.event_type AND c.d = spine.d""",
-        "series_stats": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
-        "series_stats_by_key": f"WITH {USER_STATS} SELECT k AS user_id, {STATS_COLUMNS} FROM s",
-        "series_stats_by_key_global": f"""
-            WITH {_stats_sql("events", "ts", "user_id", whole_range=True)}
-            SELECT k AS user_id, {STATS_COLUMNS} FROM s""",
-        "sql_passthrough": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
-        "series_vectors": f"WITH {ORDER_STATS} SELECT x AS days_elapsed, csum FROM s",
-        "listing_sorted": """
-            SELECT o_orderkey AS slug, strftime(o_orderdate, '%Y-%m-%d') AS created_at
-            FROM orders ORDER BY created_at, slug""",
-        "tabular_view": f"""
-            WITH {ORDER_STATS}
-            SELECT CAST(date AS VARCHAR) AS date, CAST(n AS VARCHAR) AS filled_daily_count,
-                   CAST(csum AS VARCHAR) AS running_cumulative_sum, CAST(x AS VARCHAR) AS days_elapsed
-            FROM s ORDER BY s.date""",
-        "threshold_day": f"""
-            WITH {ORDER_STATS}
-            SELECT min(date) AS day FROM s WHERE csum >= (SELECT max(csum) / 2.0 FROM s)""",
-        "threshold_day_by_key": f"""
-            WITH {TYPE_STATS}
-            SELECT s.k AS event_type, min(date) AS day
-            FROM s JOIN (SELECT k, max(csum) AS total FROM s GROUP BY k) w ON w.k = s.k
-            WHERE csum >= total / 2.0 GROUP BY 1""",
-        "running_total_by_key": f"""
-            WITH {USER_STATS}
-            SELECT k AS user_id, date, n AS daily_count, csum AS running_cumulative_sum, x AS days_elapsed
-            FROM s WHERE n > 0""",
-        "running_total_rows": """
-            SELECT o_orderkey, o_orderdate,
-                   CAST(count(*) OVER (ORDER BY o_orderdate, o_orderkey
-                                       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
-            FROM orders""",
-        "running_total_rows_by_key": """
-            SELECT event_id, event_type, ts, cents,
-                   CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id
-                                         ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
-            FROM (SELECT event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)""",
-        "running_total_peers": """
-            SELECT o_orderkey, o_orderstatus, o_orderdate,
-                   count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS running_total
-            FROM orders""",
-        "poisson_fit": f"""{_fit_sql(ORDER_STATS)}
-            SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
-        "poisson_fit_distributed": f"""{_fit_sql(ORDER_STATS)}
-            SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM h""",
-        "poisson_fit_by_key": f"""{_fit_sql(TYPE_STATS)}
-            SELECT k AS event_type, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
-        "poisson_fit_by_user": f"""{_fit_sql(USER_STATS)}
-            SELECT k AS user_id, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
-        "forecast_until": f"""{_fit_sql(ORDER_STATS)}
-            SELECT f.x AS days_elapsed, round(exp(f.b0 + f.b1 * f.x), 2) AS tagCount,
-                   CASE WHEN last_x = first_x THEN 'already_past' ELSE 'reached' END AS status
-            FROM f JOIN h ON f.k = h.k""",
-        "forecast_by_key": f"""{_fit_sql(TYPE_STATS)}
-            SELECT k AS event_type, x AS days_elapsed, {PREDICTION} AS tagCount FROM f""",
-        "apply_series_by_key": f"""{_fit_sql(TYPE_STATS)}
-            SELECT k AS event_type, x AS days_elapsed, {PREDICTION} AS tagCount FROM f""",
-        "crossing_date": f"{_fit_sql(ORDER_STATS)} SELECT {CROSSING}",
-        "crossing_date_by_key": f"{_fit_sql(TYPE_STATS)} SELECT k AS event_type, {CROSSING}",
-        "actual_series": f"WITH {ORDER_STATS} SELECT {ACTUAL_ROWS}",
-        "predicted_series": f"{_fit_sql(ORDER_STATS)} SELECT {PREDICTED_ROWS}",
-        "combined_series": f"""{_fit_sql(ORDER_STATS)}
-            SELECT {ACTUAL_ROWS} UNION ALL SELECT {PREDICTED_ROWS}""",
-        "combined_series_by_key": f"""{_fit_sql(TYPE_STATS)}
-            SELECT k AS event_type, {ACTUAL_ROWS} UNION ALL SELECT k, {PREDICTED_ROWS}""",
-        "vectors_roundtrip": f"""
-            WITH {USER_STATS} SELECT k AS user_id, x AS days_elapsed, csum AS running_cumulative_sum FROM s""",
-        "record_map": """
-            SELECT o_orderkey, 'o_orderstatus' AS name, o_orderstatus AS value FROM orders
-            UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
-            UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders""",
-        "ingest_nested": """
-            SELECT CAST(o_orderkey AS VARCHAR) AS slug, CAST(o_orderdate AS DATE) AS created_at FROM orders
-            UNION ALL SELECT o_orderkey || '-status', NULL FROM orders""",
-        "date_quality": """
-            SELECT 2 * count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, count(*) AS n_bad FROM orders""",
-        "bad_dates": "SELECT o_orderkey || '-status' AS slug, o_orderstatus AS created_at FROM orders",
-        "json_key_profile": f"""
-            SELECT event_type, key, {KEY_KIND} AS kind, count(*) AS n_rows,
-                   CAST(min(CASE json_type(props, '$.' || key)
-                       WHEN 'OBJECT' THEN len(json_keys(props, '$.' || key))
-                       WHEN 'ARRAY' THEN json_array_length(props, '$.' || key) END) AS BIGINT) AS min_size,
-                   CAST(max(CASE json_type(props, '$.' || key)
-                       WHEN 'OBJECT' THEN len(json_keys(props, '$.' || key))
-                       WHEN 'ARRAY' THEN json_array_length(props, '$.' || key) END) AS BIGINT) AS max_size
-            FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)
-            GROUP BY 1, 2, 3""",
-        "first_wins": FIRST_VALUES,
-        "first_wins_map": FIRST_VALUES,
-        "strict_cast": """
-            SELECT o_orderkey, CAST(o_totalprice > 100000 AS DOUBLE) AS is_large,
-                   CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderpriority FROM orders""",
-        "read_range": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
-    }
+    return SQL | (llm.oracle_sql() if llm is not None else {})
+
+
+SQL = {
+    "daily_counts": """
+        SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS daily_count FROM orders GROUP BY 1""",
+    "daily_counts_by_key": """
+        SELECT user_id, event_type, CAST(ts AS DATE) AS date, count(*) AS daily_count
+        FROM events GROUP BY 1, 2, 3""",
+    "date_bounds": """
+        SELECT CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day
+        FROM orders""",
+    "min_date": "SELECT CAST(min(o_orderdate) AS DATE) AS min_date FROM orders",
+    "date_spine": f"WITH {ORDER_STATS} SELECT d AS date FROM spine",
+    "densify_daily": f"WITH {ORDER_STATS} SELECT date, n AS daily_count FROM s",
+    "densify_by_key": f"WITH {USER_STATS} SELECT k AS user_id, date, n AS daily_count FROM s",
+    "densify_by_key_global": """
+        WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS d, count(*) AS n
+                   FROM events GROUP BY 1, 2, 3),
+        spine AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL '1 day')) AS DATE) AS d FROM c),
+        keys AS (SELECT DISTINCT user_id, event_type FROM c)
+        SELECT keys.user_id, keys.event_type, spine.d AS date, coalesce(n, 0) AS daily_count
+        FROM keys CROSS JOIN spine
+        LEFT JOIN c ON c.user_id = keys.user_id AND c.event_type = keys.event_type AND c.d = spine.d""",
+    "series_stats": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
+    "series_stats_by_key": f"WITH {USER_STATS} SELECT k AS user_id, {STATS_COLUMNS} FROM s",
+    "series_stats_by_key_global": f"""
+        WITH {_stats_sql("events", "ts", "user_id", whole_range=True)}
+        SELECT k AS user_id, {STATS_COLUMNS} FROM s""",
+    "sql_passthrough": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
+    "series_vectors": f"WITH {ORDER_STATS} SELECT x AS days_elapsed, csum FROM s",
+    "listing_sorted": """
+        SELECT o_orderkey AS slug, strftime(o_orderdate, '%Y-%m-%d') AS created_at
+        FROM orders ORDER BY created_at, slug""",
+    "tabular_view": f"""
+        WITH {ORDER_STATS}
+        SELECT CAST(date AS VARCHAR) AS date, CAST(n AS VARCHAR) AS filled_daily_count,
+               CAST(csum AS VARCHAR) AS running_cumulative_sum, CAST(x AS VARCHAR) AS days_elapsed
+        FROM s ORDER BY s.date""",
+    "threshold_day": f"""
+        WITH {ORDER_STATS}
+        SELECT min(date) AS day FROM s WHERE csum >= (SELECT max(csum) / 2.0 FROM s)""",
+    "threshold_day_by_key": f"""
+        WITH {TYPE_STATS}
+        SELECT s.k AS event_type, min(date) AS day
+        FROM s JOIN (SELECT k, max(csum) AS total FROM s GROUP BY k) w ON w.k = s.k
+        WHERE csum >= total / 2.0 GROUP BY 1""",
+    "running_total_by_key": f"""
+        WITH {USER_STATS}
+        SELECT k AS user_id, date, n AS daily_count, csum AS running_cumulative_sum, x AS days_elapsed
+        FROM s WHERE n > 0""",
+    "running_total_rows": """
+        SELECT o_orderkey, o_orderdate,
+               CAST(count(*) OVER (ORDER BY o_orderdate, o_orderkey
+                                   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
+        FROM orders""",
+    "running_total_rows_by_key": """
+        SELECT event_id, event_type, ts, cents,
+               CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                                     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
+        FROM (SELECT event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)""",
+    "running_total_peers": """
+        SELECT o_orderkey, o_orderstatus, o_orderdate,
+               count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS running_total
+        FROM orders""",
+    "poisson_fit": f"""{_fit_sql(ORDER_STATS)}
+        SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
+    "poisson_fit_distributed": f"""{_fit_sql(ORDER_STATS)}
+        SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM h""",
+    "poisson_fit_by_key": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
+    "poisson_fit_by_user": f"""{_fit_sql(USER_STATS)}
+        SELECT k AS user_id, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
+    "forecast_until": f"""{_fit_sql(ORDER_STATS)}
+        SELECT f.x AS days_elapsed, round(exp(f.b0 + f.b1 * f.x), 2) AS tagCount,
+               CASE WHEN last_x = first_x THEN 'already_past' ELSE 'reached' END AS status
+        FROM f JOIN h ON f.k = h.k""",
+    "forecast_by_key": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, x AS days_elapsed, {PREDICTION} AS tagCount FROM f""",
+    "apply_series_by_key": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, x AS days_elapsed, {PREDICTION} AS tagCount FROM f""",
+    "crossing_date": f"{_fit_sql(ORDER_STATS)} SELECT {CROSSING}",
+    "crossing_date_by_key": f"{_fit_sql(TYPE_STATS)} SELECT k AS event_type, {CROSSING}",
+    "actual_series": f"WITH {ORDER_STATS} SELECT {ACTUAL_ROWS}",
+    "predicted_series": f"{_fit_sql(ORDER_STATS)} SELECT {PREDICTED_ROWS}",
+    "combined_series": f"""{_fit_sql(ORDER_STATS)}
+        SELECT {ACTUAL_ROWS} UNION ALL SELECT {PREDICTED_ROWS}""",
+    "combined_series_by_key": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, {ACTUAL_ROWS} UNION ALL SELECT k, {PREDICTED_ROWS}""",
+    "vectors_roundtrip": f"""
+        WITH {USER_STATS} SELECT k AS user_id, x AS days_elapsed, csum AS running_cumulative_sum FROM s""",
+    "record_map": """
+        SELECT o_orderkey, 'o_orderstatus' AS name, o_orderstatus AS value FROM orders
+        UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+        UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders""",
+    "ingest_nested": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS slug, CAST(o_orderdate AS DATE) AS created_at FROM orders
+        UNION ALL SELECT o_orderkey || '-status', NULL FROM orders""",
+    "date_quality": """
+        SELECT 2 * count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, count(*) AS n_bad FROM orders""",
+    "bad_dates": "SELECT o_orderkey || '-status' AS slug, o_orderstatus AS created_at FROM orders",
+    "json_key_profile": f"""
+        SELECT event_type, key, {KEY_KIND} AS kind, count(*) AS n_rows,
+               CAST(min(CASE json_type(props, '$.' || key)
+                   WHEN 'OBJECT' THEN len(json_keys(props, '$.' || key))
+                   WHEN 'ARRAY' THEN json_array_length(props, '$.' || key) END) AS BIGINT) AS min_size,
+               CAST(max(CASE json_type(props, '$.' || key)
+                   WHEN 'OBJECT' THEN len(json_keys(props, '$.' || key))
+                   WHEN 'ARRAY' THEN json_array_length(props, '$.' || key) END) AS BIGINT) AS max_size
+        FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)
+        GROUP BY 1, 2, 3""",
+    "first_wins": FIRST_VALUES,
+    "first_wins_map": FIRST_VALUES,
+    "strict_cast": """
+        SELECT o_orderkey, CAST(o_totalprice > 100000 AS DOUBLE) AS is_large,
+               CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderpriority FROM orders""",
+    "read_range": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
+}

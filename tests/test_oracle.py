@@ -17,10 +17,10 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert {query.__name__ for query in entry.QUERIES} == set(entry.SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.SQL))
 def test_query_equals_oracle(spark, connection, name):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
