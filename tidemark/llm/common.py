@@ -71,6 +71,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,6 +99,63 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | str, most: int = SLICE
             begin = end
 
 
+CHUNK_CELLS = 4096
+
+
+def cell_counts(values: DataFrame, cells: int) -> np.ndarray:
+    """How many of the longs of ``values`` fall in each of ``cells`` hash cells.
+
+    A table of fixed size, whatever the input: every task counts on its own, the
+    counts are added chunk by chunk, and the sums (at most 65,535 each) come to the
+    driver. It only ever says "at most so often", so it may order or pre-filter,
+    but not decide.
+    """
+    if cells % CHUNK_CELLS:
+        raise ValueError(f"cells must be a multiple of {CHUNK_CELLS}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cell_rows((b.column(0).to_numpy(zero_copy_only=False) for b in batches), cells)
+
+    return added_cells(values.mapInArrow(count, CELL_ROW), cells)
+
+
+CELL_ROW = "chunk int, counts binary"
+
+
+def cell_of(values: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(values.view(np.uint64)) % np.uint64(cells)).astype(np.int64)
+
+
+def cell_rows(arrays: Iterator[np.ndarray], cells: int) -> Iterator[pa.RecordBatch]:
+    """One task's counts, as rows of chunks that are not all zero."""
+    total = np.zeros(cells, np.int64)
+    for values in arrays:
+        total += np.bincount(cell_of(values, cells), minlength=cells)
+    table = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK_CELLS)
+    used = np.flatnonzero(table.any(axis=1))
+    if len(used):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array([table[i].tobytes() for i in used])], ["chunk", "counts"]
+        )
+
+
+def added_cells(rows: DataFrame, cells: int) -> np.ndarray:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # at most cells / CHUNK_CELLS arrays
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(chunk, np.zeros(CHUNK_CELLS, np.int64))
+                total[chunk] += np.frombuffer(counts, np.uint16)
+        if total:
+            counts = [np.minimum(t, 65535).astype(np.uint16).tobytes() for t in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(counts)], ["chunk", "counts"])
+
+    out = np.zeros((cells // CHUNK_CELLS, CHUNK_CELLS), np.uint16)
+    for chunk, counts in rows.repartition("chunk").mapInArrow(add, CELL_ROW).collect():
+        out[chunk] = np.frombuffer(counts, np.uint16)
+    return out.reshape(-1)
+
+
 # --- hashing ----------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, fingerprints, language, lines, mixing, topk, urls
+from tidemark.llm import bpe, chat, fingerprints, jaccard, language, lines, mixing, repeats, topk, urls
 
 RULES = [
     ("allow", "com/"),
@@ -28,6 +28,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -61,8 +65,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(_table(spark, sf_dir, "documents"), words=4, share=(85, 100))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_topk,
+    op2_repeats,
     op3_language,
     op4_mix,
     op5_bpe,
@@ -70,6 +79,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op7_chat,
     op8_lines,
     op9_urls,
+    op10_jaccard,
 ]
 
 
