@@ -458,7 +458,10 @@ KEY_KIND = """CASE json_type(props, '$.' || key) WHEN 'OBJECT' THEN 'object' WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | (llm.oracle_sql() if llm is not None else {})
+    named = SQL | (llm.oracle_sql() if llm is not None else {})
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        named["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return named
 
 
 SQL = {
