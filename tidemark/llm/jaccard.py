@@ -7,10 +7,14 @@ an index of prefix tokens finds every pair. Tokens of long lists get combined:
 with prefixes one longer the pair also shares a second token, so those lists are
 split by every later token of the prefix. Candidates are verified on whole texts.
 
+Every set also has a parity bitmap: each token flips one bit, so two bitmaps differ in
+no more bits than the sets differ in tokens, and pairs that differ in too many are
+left out for certain.
+
 What is asked for are the components, so a pair within a component already known
-needs no proof: first each member of a list is only compared with the list's first,
-then only pairs of different components are, in full. Large groups of copies thus
-cost their size, not its square.
+needs no proof: first each document is only verified against the nearest of its
+lists by bitmap, then only pairs of different components are, in full. Large
+groups of copies thus cost their size, not its square.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (
@@ -41,7 +45,10 @@ from tidemark.llm.components import components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELLS = 1 << 21  # cells of the sketch of token counts; its size is fixed, more cells order more finely
-LONG_LIST = 128  # members of a token's list from which tokens are combined
+LONG_LIST = 2048  # members of a token's list from which tokens are combined
+BITMAP = 512  # bits of a parity bitmap
+ROUNDS = 2  # in which documents are verified against their nearest only
+BLOCK = 1024  # members of a list among which the nearest is sought
 NODE = "doc_id long, a long, b long"
 
 
@@ -99,7 +106,7 @@ def _described(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, counts: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
-    """``doc_id, a, b, n, tokens``: each document's rarest tokens, one more than its prefix."""
+    """``doc_id, a, b, n, tokens, bits``: each document's rarest tokens, one more than its prefix, and bitmap."""
     rank = np.log2(counts.astype(np.float64) + 1).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,100 +119,111 @@ def _prefixes(rows: DataFrame, counts: np.ndarray, words: int, share: tuple[int,
             taken = place <= prefix_length(n, share)[owner]
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner[taken], minlength=part.num_rows))])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[order][taken].view(np.int64)))
-            arrays = [part.column("doc_id"), pa.array(a), pa.array(b), pa.array(n), lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "a", "b", "n", "tokens"])
+            flips = np.bincount(owner * BITMAP + (tokens >> np.uint64(55)).astype(np.int64), minlength=part.num_rows * BITMAP)
+            bits = np.packbits((flips & 1).astype(np.uint8).reshape(-1, BITMAP), axis=1)
+            bits = pa.array([x.tobytes() for x in bits], pa.binary())
+            arrays = [part.column("doc_id"), pa.array(a), pa.array(b), pa.array(n), lists, bits]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "a", "b", "n", "tokens", "bits"])
 
-    return rows.mapInArrow(run, f"{NODE}, n long, tokens array<long>")
+    return rows.mapInArrow(run, f"{NODE}, n long, tokens array<long>, bits binary")
 
 
 def _listed(index: DataFrame) -> DataFrame:
-    """Of ``token, rep, n, place`` the lists of two members or more, with ``first``, ``first_n``
-    and ``first_place``: the member of least size. Lists pass through in order; one row is held."""
+    """Of ``token, rep, n, place`` the lists of two members or more. Lists pass through
+    in order; one row is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        lead: tuple | None = None
+        held: pa.RecordBatch | None = None  # the head of a list, until a second member comes
+        last: int | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, rep, n, place = (c.to_numpy() for c in batch.columns)
-            begins = np.ones(len(token), bool)
-            begins[1:] = token[1:] != token[:-1]
-            begins[0] = lead is None or token[0] != lead[0]
-            heads = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
-            old = heads < 0  # members of the list the batch before ended with
-            first = [np.where(old, lead[i], c[heads]) if lead else c[heads] for i, c in ((1, rep), (2, n), (3, place))]
-            # a head is only told to be alone by the row after it
-            follows = np.append(~begins[1:], False)
-            keep = ~begins | follows
-            full = [token, rep, n, place, *first]
-            if held is not None and not begins[0]:
+            token = batch.column("token").to_numpy()
+            joins = np.append(token[:1] == last, token[1:] == token[:-1])
+            keep = joins | np.append(joins[1:], False)
+            if held is not None and joins[0]:
                 yield held
-            held = None
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in full], LIST_NAMES)
-            if begins[-1]:
-                held = pa.RecordBatch.from_arrays([pa.array(c[-1:]) for c in full], LIST_NAMES)
-            lead = (token[-1], first[0][-1], first[1][-1], first[2][-1])
-
-    dealt = index.repartition("token").sortWithinPartitions("token", "n", "rep").select("token", "rep", "n", "place")
-    return dealt.mapInArrow(run, ", ".join(f"{name} long" for name in LIST_NAMES))
+            yield batch.filter(pa.array(keep))
+            held = None if joins[-1] else batch.slice(batch.num_rows - 1)
+            last = token[-1]
 
+    dealt = index.repartition("token").sortWithinPartitions("token").select("token", "rep", "n", "place")
+    return dealt.mapInArrow(run, "token long, rep long, n long, place long")
 
-LIST_NAMES = ["token", "rep", "n", "place", "first", "first_n", "first_place"]
 
+PAIR = ["u", "v", "who", "apart"]
 
-def _possible(n: Column, m: Column, i: Column, j: Column, share: tuple[int, int]) -> Column:
-    """Whether sets of ``n`` and ``m`` can be similar if their first common tokens are at ``i`` and ``j``."""
-    s, w = share
-    enough = s * (n + m) <= (s + w) * F.least(n - i, m - j)
-    return enough & (s * F.greatest(n, m) <= w * F.least(n, m))
 
+def _pairs_across(lists: DataFrame, share: tuple[int, int], nearest: bool, long_list: int | None = None) -> DataFrame:
+    """Pairs ``u, v`` of different components within each list that may be similar.
 
-def _pairs_across(lists: DataFrame, share: tuple[int, int], long_list: int | None) -> DataFrame:
-    """Pairs of different components within each list, and long lists' tokens.
-
-    ``lists`` has ``token, rep, n, place, component``. Rows ``u, v`` are pairs; a row
-    with null ``v`` names in ``u`` a token whose list is longer than ``long_list``.
+    ``lists`` has ``token, rep, n, place, bits, component``. With ``nearest`` each
+    member (``who``) is only paired with the one before it whose bitmap is the least
+    ``apart``. Else all pairs are given, and a row with null ``v`` names in ``u`` a
+    token whose list is longer than ``long_list``.
     """
     s, w = share
 
-    def pairs(rep: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # rows are in order of size, so a row's partners end where sizes get too large
-        ends = np.searchsorted(n, n * w // s, "right")
+    def partners(i: int, to: int, n, place, comp, bits) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``i + 1`` to ``to``, those ``i`` may be similar to, and how far apart they are."""
+        j = np.arange(i + 1, to)
+        both = n[i] + n[j]
+        j = j[(comp[j] != comp[i]) & (s * both <= (s + w) * np.minimum(n[i] - place[i], n[j] - place[j]))]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+        both = n[i] + n[j]
+        near = apart <= both + 2 * (-s * both // (s + w))
+        return j[near], apart[near]
+
+    def nearest_pairs(rep, n, place, comp, bits, ends) -> Iterator[list[np.ndarray]]:
+        best = np.full(len(rep), np.iinfo(np.int64).max)
+        mate = np.full(len(rep), -1)
+        for i in range(len(rep) - 1):
+            j, apart = partners(i, min(ends[i], (i // BLOCK + 1) * BLOCK), n, place, comp, bits)
+            closer = apart < best[j]
+            best[j[closer]], mate[j[closer]] = apart[closer], i
+        at = np.flatnonzero(mate >= 0)
+        if len(at):
+            yield [np.minimum(rep[at], rep[mate[at]]), np.maximum(rep[at], rep[mate[at]]), rep[at], best[at]]
+
+    def all_pairs(rep, n, place, comp, bits, ends) -> Iterator[list[np.ndarray]]:
         for i in range(len(rep) - 1):
-            j = np.arange(i + 1, ends[i])
-            ok = (comp[j] != comp[i]) & (s * (n[i] + n[j]) <= (s + w) * np.minimum(n[i] - place[i], n[j] - place[j]))
-            if ok.any():
-                other = rep[j[ok]]
-                yield np.minimum(other, rep[i]), np.maximum(other, rep[i])
+            j, apart = partners(i, ends[i], n, place, comp, bits)
+            if len(j):
+                yield [np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i]), np.full(len(j), rep[i]), apart]
+
+    def as_rows(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], PAIR)
+
+    def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, rep, n, place, comp, bits = columns
+        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+        stops = np.append(cuts[1:], len(token))
+        open_lists = np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts)
+        found, size = [], 0
+        for c, e in zip(cuts[open_lists].tolist(), stops[open_lists].tolist(), strict=True):
+            if long_list and e - c > long_list:
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(token[c : c + 1]), none, none, none], PAIR)
+                continue
+            # rows are in order of size, so a row's partners end where sizes get too large
+            ends = np.searchsorted(n[c:e], n[c:e] * w // s, "right")
+            pairs = nearest_pairs if nearest else all_pairs
+            for pair in pairs(rep[c:e], n[c:e], place[c:e], comp[c:e], bits[c:e], ends):
+                found.append(pair)
+                size += len(pair[0])
+                if size > 1 << 16:
+                    yield as_rows(found)
+                    found, size = [], 0
+        if found:
+            yield as_rows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-
-        def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, rep, n, place, comp = columns
-            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
-            mixed_lists = np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts)
-            stops = np.append(cuts[1:], len(token))
-            for c, e in zip(cuts[mixed_lists].tolist(), stops[mixed_lists].tolist(), strict=True):
-                if long_list and e - c > long_list:
-                    yield pa.RecordBatch.from_arrays([pa.array(token[c : c + 1]), pa.nulls(1, pa.int64())], ["u", "v"])
-                    continue
-                us, vs, size = [], [], 0
-                for u, v in pairs(rep[c:e], n[c:e], place[c:e], comp[c:e]):
-                    us.append(u)
-                    vs.append(v)
-                    size += len(u)
-                    if size > 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                        us, vs, size = [], [], 0
-                if us:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:5]]
+            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP // 64))
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             last = np.searchsorted(columns[0], columns[0][-1])  # the last list may go on
@@ -216,7 +234,8 @@ def _pairs_across(lists: DataFrame, share: tuple[int, int], long_list: int | Non
             yield from closed(held)
 
     dealt = lists.repartition("token").sortWithinPartitions("token", "n", "rep")
-    return dealt.select("token", "rep", "n", "place", "component").mapInArrow(run, "u long, v long")
+    dealt = dealt.select("token", "rep", "n", "place", "component", "bits")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -281,32 +300,36 @@ def near_components(
     # the index, of one document per class
     prefixes = _prefixes(rows, counts, words, share).where("n > 0 AND doc_id IS NOT NULL")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "a", "b")
-    prefixes = written(prefixes.join(reps, ["doc_id", "n", "a", "b"]).select(F.col("doc_id").alias("rep"), "n", "tokens").distinct(), "prefixes")
+    prefixes = prefixes.join(reps, ["doc_id", "n", "a", "b"]).dropDuplicates(["doc_id", "n", "a", "b"])
+    prefixes = written(prefixes.select(F.col("doc_id").alias("rep"), "n", "tokens", "bits"), "prefixes")
     index = prefixes.select("rep", "n", F.posexplode("tokens").alias("place", "token"))
     length = F.expr(f"n - ceil({share[0]} * n / {share[1]}) + 1")
     index = index.where(F.col("place") < length).select("token", "rep", "n", F.col("place").cast("long").alias("place"))
     lists = written(_listed(index), "lists")
+    bitmaps = prefixes.select("rep", "n", "bits").distinct()
 
-    # every member against the first of its lists: pairs that share a good part of their prefix
-    star = lists.where("rep <> first").where(
-        _possible(F.col("n"), F.col("first_n"), F.col("place"), F.col("first_place"), share)
-    )
-    star = star.groupBy(F.least("rep", "first").alias("u"), F.greatest("rep", "first").alias("v"), "n").agg(F.count("*").alias("met"))
-    star = star.where(4 * F.col("met") >= length).select("u", "v")
-    edges = written(_verified(star, rows, words, share).unionByName(of_one_id), "links")
-    known = components(edges)
+    def members(known: DataFrame) -> DataFrame:
+        named = bitmaps.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        return lists.join(named.select("rep", "n", "bits", F.coalesce("component", "rep").alias("component")), ["rep", "n"])
 
-    # what is left: pairs of different components
-    member = lists.select("token", "rep", "n", "place").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.withColumn("component", F.coalesce("component", "rep"))
-    across = written(_pairs_across(member, share, LONG_LIST), "across")
+    edges = written(of_one_id, "links")
+    known = components(edges)
+    for _ in range(ROUNDS):
+        near = _pairs_across(members(known), share, nearest=True)
+        chosen = near.groupBy("who").agg(F.min(F.struct("apart", "u", "v")).alias("best")).select("best.u", "best.v")
+        edges = written(edges.unionByName(_verified(chosen, rows, words, share)), "links")
+        known = written(components(edges), "known")
+
+    # what is left: all pairs of different components
+    member = members(known)
+    across = written(_pairs_across(member, share, False, LONG_LIST), "across")
     long_tokens = across.where("v IS NULL").select(F.col("u").alias("token"))
-    combined = member.join(long_tokens, "token").join(prefixes.select("rep", "tokens"), "rep")
+    combined = member.join(long_tokens, "token").join(prefixes.select("rep", "n", "tokens"), ["rep", "n"])
     later = F.explode(F.expr("slice(tokens, int(place) + 2, size(tokens))")).alias("second")
-    combined = combined.select("token", "rep", "n", "place", "component", later)
-    combined = combined.select(F.xxhash64("token", "second").alias("token"), "rep", "n", "place", "component")
-    rest = across.where("v IS NOT NULL").unionByName(_pairs_across(combined, share, None))
-    found = _verified(rest, rows, words, share)
+    combined = combined.select("token", "rep", "n", "place", "bits", "component", later)
+    combined = combined.withColumn("token", F.xxhash64("token", "second")).drop("second")
+    rest = across.where("v IS NOT NULL").unionByName(_pairs_across(combined, share, False))
+    found = _verified(rest.select("u", "v"), rows, words, share)
     known = components(edges.unionByName(found))
 
     final = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left")
