@@ -31,6 +31,19 @@ except ImportError:
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
+FIXED_TARGET = """CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 50000
+    WHEN 'view' THEN 1e300 * 1e300 ELSE 2 * last_y END"""
+DATE_FORMS = [
+    "yyyy-MM-dd",
+    "EEE MMM dd yyyy",
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    "MMMM d, yyyy",
+    "d MMM yyyy HH:mm 'GMT'",
+    "MM/dd/yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+]
+
+
 def _twice_total() -> Column:
     return 2 * F.col("last_y")
 
@@ -137,9 +150,18 @@ def threshold_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_day_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _event_stats(spark, sf_dir, "event_type")
-    total = F.max("running_cumulative_sum").over(Window.partitionBy("event_type"))
-    return tm.first_reaching(stats.withColumn("half", total / 2), F.col("half"), "event_type")
+    """Half of each key's total, which rides along with the sparse counts."""
+    counts = tm.daily_counts(_events(spark, sf_dir), "ts", "event_type").where("date IS NOT NULL")
+    half = F.sum("daily_count").over(Window.partitionBy("event_type")) / 2
+    stats = tm.running_total(counts, by="event_type").withColumn("half", half)
+    return tm.first_reaching(stats, F.col("half"), "event_type")
+
+
+def zero_counts_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of purchases by user: days of other events count 0, bounds are those of all."""
+    bought = F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("daily_count")
+    counts = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("date")).agg(bought)
+    return tm.stats_from_counts(counts, "user_id", "global")
 
 
 def running_total_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +196,12 @@ def poisson_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def poisson_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tm.fit_poisson_distributed(_order_stats(spark, sf_dir))
-    return _rounded(model, intercept=6, slope=6)
+    return _rounded(model.select("intercept", "slope"), intercept=6, slope=6)
+
+
+def crossing_date_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tm.fit_poisson_distributed(_order_stats(spark, sf_dir), origin="date")
+    return tm.crossing_date(model, _twice_total())
 
 
 def poisson_fit_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +259,15 @@ def crossing_date_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.crossing_date(_keyed_model(spark, sf_dir), _twice_total(), "event_type")
 
 
+def forecast_status_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and status per key for fixed targets: past, ahead, and beyond the calendar."""
+    target = F.expr(FIXED_TARGET)
+    model = _keyed_model(spark, sf_dir)
+    rows = tm.forecast_until(model, target, "event_type").groupBy("event_type").agg(F.count("*").alias("n_rows"))
+    status = tm.crossing_date(model, target, "event_type").select("event_type", "status")
+    return status.join(rows, "event_type", "left").na.fill({"n_rows": 0})
+
+
 def actual_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.actual_series(_order_stats(spark, sf_dir))
 
@@ -254,6 +290,17 @@ def combined_series_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tm.combined_series(stats, model, _twice_total(), "event_type"), tagCount=2)
 
 
+def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.ordered_series(combined_series_by_key(spark, sf_dir), "event_type")
+
+
+def sql_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by SQL text on a table registered by name."""
+    orders = _orders(spark, sf_dir).select(F.col("o_orderdate").alias("created_at"))
+    tm.register_table(orders, "tidemark_orders")
+    return tm.run_sql(spark, SERIES_STATS.replace("{events}", "tidemark_orders"), args={"fill": 0})
+
+
 # --- vectors, documents, records -------------------------------------------------
 
 
@@ -292,6 +339,16 @@ def ingest_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.parse_days(tm.unnest_documents(docs))
 
 
+def ingest_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in the forms a date text may have, and read again."""
+    day = F.col("o_orderdate")
+    forms = [F.date_format(day, pattern) for pattern in DATE_FORMS]
+    forms.append((F.unix_date(F.to_date(day)).cast("bigint") * 86_400_000).cast("string"))
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    rows = _orders(spark, sf_dir).select("o_orderkey", text.alias("created_at"))
+    return tm.parse_days(rows)
+
+
 def date_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.date_quality(tm.unnest_documents(_order_documents(spark, sf_dir)))
 
@@ -304,6 +361,12 @@ def json_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.key_profile(_events(spark, sf_dir), "props", "event_type")
 
 
+def json_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the events as they are, and one in seven cut short."""
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return tm.json_quality(_events(spark, sf_dir).withColumn("props", cut), "props", "event_type")
+
+
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["ts", "event_id"]
     return tm.first_wins(_events(spark, sf_dir), "user_id", "event_type", "value", order)
@@ -348,12 +411,14 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     tabular_view,
     threshold_day,
     threshold_day_by_key,
+    zero_counts_global,
     running_total_by_key,
     running_total_rows,
     running_total_rows_by_key,
     running_total_peers,
     poisson_fit,
     poisson_fit_distributed,
+    crossing_date_distributed,
     poisson_fit_by_key,
     poisson_fit_by_user,
     forecast_until,
@@ -365,12 +430,17 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     predicted_series,
     combined_series,
     combined_series_by_key,
+    forecast_status_by_key,
+    chart_series,
+    sql_by_name,
     vectors_roundtrip,
     record_map,
     ingest_nested,
+    ingest_date_forms,
     date_quality,
     bad_dates,
     json_key_profile,
+    json_quality,
     first_wins,
     first_wins_map,
     strict_cast,
@@ -411,7 +481,7 @@ def _stats_sql(source: str, time_col: str, key: str | None = None, whole_range:
           FROM spine LEFT JOIN c ON c.k = spine.k AND c.d = spine.d)"""
 
 
-def _fit_sql(stats: str) -> str:
+def _fit_sql(stats: str, goal: str = "2 * max(y)") -> str:
     """Add ``m(k, b0, b1)`` by Newton steps and ``f``: the forecast offsets."""
     return f"""WITH RECURSIVE {stats},
     p AS (SELECT k, CAST(x AS DOUBLE) AS x, CAST(csum AS DOUBLE) AS y FROM s),
@@ -427,7 +497,7 @@ def _fit_sql(stats: str) -> str:
                   FROM fit JOIN p ON p.k = fit.k WHERE i < 15)
             GROUP BY i, k, b0, b1)),
     m AS (SELECT k, b0, b1 FROM fit WHERE i = 15),
-    t AS (SELECT k, max(x) AS mx, 2 * max(y) AS goal, min(date) AS lo, count(*) AS n_points
+    t AS (SELECT k, max(x) AS mx, {goal} AS goal, min(date) AS lo, count(*) AS n_points
           FROM (SELECT k, CAST(x AS DOUBLE) AS x, CAST(csum AS DOUBLE) AS y, date FROM s) GROUP BY k),
     h AS (SELECT m.k, b0, b1, lo, n_points, mx + 1 AS first_x,
                  CAST(greatest(mx + 1, ceil((ln(goal) - b0) / b1)) AS BIGINT) AS last_x
@@ -439,6 +509,7 @@ def _fit_sql(stats: str) -> str:
 ORDER_STATS = _stats_sql("orders", "o_orderdate")
 USER_STATS = _stats_sql("events", "ts", "user_id")
 TYPE_STATS = _stats_sql("events", "ts", "event_type")
+FIXED_GOAL = """CASE k WHEN 'click' THEN 1 WHEN 'error' THEN 50000 ELSE 2 * max(y) END"""
 STATS_COLUMNS = "date, n AS filled_daily_count, csum AS running_cumulative_sum, x AS days_elapsed"
 PREDICTION = "round(exp(b0 + b1 * x), 2)"
 ACTUAL_ROWS = "date AS day, CAST(csum AS DOUBLE) AS tagCount, 'Actual Count' AS valueType FROM s"
@@ -544,6 +615,32 @@ SQL = {
         SELECT k AS event_type, x AS days_elapsed, {PREDICTION} AS tagCount FROM f""",
     "crossing_date": f"{_fit_sql(ORDER_STATS)} SELECT {CROSSING}",
     "crossing_date_by_key": f"{_fit_sql(TYPE_STATS)} SELECT k AS event_type, {CROSSING}",
+    "crossing_date_distributed": f"{_fit_sql(ORDER_STATS)} SELECT {CROSSING}",
+    "forecast_status_by_key": f"""{_fit_sql(TYPE_STATS, FIXED_GOAL)}
+        SELECT k AS event_type,
+               CASE WHEN k = 'view' THEN 'beyond_calendar'
+                    WHEN last_x = first_x THEN 'already_past' ELSE 'reached' END AS status,
+               CASE WHEN k = 'view' THEN 0 ELSE CAST(last_x - first_x + 1 AS BIGINT) END AS n_rows FROM h""",
+    "chart_series": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, {ACTUAL_ROWS} UNION ALL SELECT k, {PREDICTED_ROWS}
+        ORDER BY event_type, valueType, day""",
+    "sql_by_name": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
+    "zero_counts_global": """
+        WITH c AS (SELECT user_id AS k, CAST(ts AS DATE) AS d,
+                          sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS n FROM events GROUP BY ALL),
+        spine AS (SELECT k, lo, CAST(unnest(generate_series(lo, hi, INTERVAL '1 day')) AS DATE) AS d
+                  FROM (SELECT DISTINCT k FROM c), (SELECT min(d) AS lo, max(d) AS hi FROM c))
+        SELECT spine.k AS user_id, spine.d AS date, CAST(coalesce(n, 0) AS BIGINT) AS filled_daily_count,
+               CAST(sum(coalesce(n, 0)) OVER (PARTITION BY spine.k ORDER BY spine.d) AS BIGINT) AS running_cumulative_sum,
+               datediff('day', lo, spine.d) AS days_elapsed
+        FROM spine LEFT JOIN c ON c.k = spine.k AND c.d = spine.d""",
+    "ingest_date_forms": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS created_at FROM orders",
+    "json_quality": """
+        SELECT event_type, count(*) AS n_rows, count(*) - count(p) AS n_null,
+               count(CASE WHEN NOT json_valid(p) THEN 1 END) AS n_bad,
+               count(CASE WHEN json_valid(p) AND json_type(CASE WHEN json_valid(p) THEN p END) <> 'OBJECT' THEN 1 END) AS n_other
+        FROM (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN left(props, length(props) - 1) ELSE props END AS p FROM events)
+        GROUP BY 1""",
     "actual_series": f"WITH {ORDER_STATS} SELECT {ACTUAL_ROWS}",
     "predicted_series": f"{_fit_sql(ORDER_STATS)} SELECT {PREDICTED_ROWS}",
     "combined_series": f"""{_fit_sql(ORDER_STATS)}

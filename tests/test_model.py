@@ -203,11 +203,53 @@ def test_forecast_statuses(spark):
     for target in (0.0, -5.0):
         assert tuples(tm.forecast_until(rising, target).select("days_elapsed", "status")) == [(6, "already_past")]
     nearly_flat = model_row(spark, 0.0, 1e-300)
-    assert tm.crossing_date(nearly_flat, 1e300).first().status == "horizon"
+    assert tm.crossing_date(nearly_flat, 1e300).first().status == "beyond_calendar"
+    assert tuples(tm.forecast_until(nearly_flat, 1e300)) == []
     unknown = model_row(spark, None, None)
     assert tm.crossing_date(unknown, 3.0).first().status == "no_crossing"
 
 
+def test_no_partial_series_and_no_year_beyond_9999(spark):
+    slow = model_row(spark, 0.0, 1e-7)
+    dated = slow.withColumn("min_date", F.lit("2023-01-01").cast("date"))
+    for model in (slow, dated):
+        assert tuples(tm.forecast_until(model, 10.0)) == []
+        assert tm.crossing_date(dated, 10.0).first().status == "beyond_calendar"
+    assert tuples(tm.predicted_series(dated, 10.0)) == []
+    # the last day of the calendar is still reached
+    days = (dt.date(9999, 12, 31) - dt.date(2023, 1, 1)).days
+    edge = tm.predicted_series(dated, float(np.exp(1e-7 * days)) * (1 - 1e-13))
+    assert edge.agg(F.max("day")).first()[0] == dt.date(9999, 12, 31)
+    cut = tm.predicted_series(dated, 10.0, max_horizon=3)
+    assert [r.status for r in cut.collect()] == ["horizon"] * 3
+
+
+def test_vector_function_ends_where_the_forecast_ends(spark):
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for _ in range(600):
+        x = np.arange(int(rng.integers(5, 40)), dtype=float)
+        y = np.cumsum(rng.poisson(rng.uniform(1, 9), len(x))) + 1.0
+        fit = tm.predict_vectors(y, x, 0.0)
+        b0, b1 = (float(c[0]) for c in newton_fit(x, np.ones_like(x), y, np.array([0])))
+        day = x.max() + int(rng.integers(1, 200))
+        target = float(np.exp(b0 + b1 * day))
+        out = tm.predict_vectors(y, x, target)
+        wrong += not (out["tagCount"][-1] >= target and (out["tagCount"][:-1] < target).all())
+        assert len(fit["days_elapsed"]) == 1
+    assert wrong == 0
+    flat = tm.predict_vectors(np.array([5.0, 5.0, 5.0]), np.arange(3), 10.0)
+    assert len(flat["days_elapsed"]) == 0
+
+
+def test_distributed_fit_gives_a_model_row(spark, toy):
+    stats = tm.stats_from_counts(tm.daily_counts(toy, "created_at"))
+    one = tm.fit_stats(stats).first().asDict()
+    other = tm.fit_poisson_distributed(stats, origin="date").first().asDict()
+    assert other.pop("min_date") == one.pop("min_date")
+    assert other == pytest.approx(one, abs=1e-6)
+
+
 def test_first_day_at_the_target_is_exact(spark):
     rng = np.random.default_rng(0)
     rows = []

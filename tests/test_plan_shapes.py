@@ -1,10 +1,12 @@
 """Plans that matter at scale: one scan, narrow reads, no stray joins."""
 
+import re
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+import tidemark as tm
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,8 +15,16 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test table
 
 def executed_plan(df):
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("+- == Initial Plan ==")[0]
+    """All final plans, those of subqueries included; initial plans are cut out by their indent."""
+    kept, skip = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        indent = len(re.match(r"[\s:|+-]*", line).group())
+        if skip is not None and (indent >= skip or not line.strip()):
+            continue
+        skip = indent if "== Initial Plan ==" in line else None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 @pytest.mark.parametrize(
@@ -57,6 +67,17 @@ def test_keyed_series_need_no_join(spark, name):
     assert "SinglePartition" not in plan
 
 
+def test_row_totals_scan_in_subqueries_is_seen(spark):
+    plan = executed_plan(entry.queries()["running_total_rows"](spark, SF_DIR))
+    assert "Subquery" in plan and "collect_set" in plan
+
+
+def test_first_wins_hashes_one_fixed_width_order(spark):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    plan = executed_plan(tm.first_wins(events, "user_id", "event_type", "value", "event_id"))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_counting_starts_before_the_shuffle(spark):
     plan = executed_plan(entry.queries()["daily_counts_by_key"](spark, SF_DIR))
     assert "partial_count" in plan.split("Exchange")[-1]

@@ -52,6 +52,21 @@ def test_first_wins_strictness(spark):
         assert tuples(loose) == [(1, bad, "v")]
 
 
+@pytest.mark.parametrize("order", ["t", ["t", "u"]])
+def test_null_order_fails(spark, order):
+    df = spark.createDataFrame([(1, "a", None, 1, "first"), (1, "a", 2, 1, "x")], "entity int, key string, t int, u int, value string")
+    with pytest.raises(Exception, match="null order in t"):
+        tm.first_wins(df, "entity", "key", "value", order).collect()
+
+
+def test_repeated_keys_and_unreadable_texts(spark):
+    texts = ['{"k": 1, "k": "x"}', "{bad", "[1]", None, '{"k": 2}', ""]
+    df = spark.createDataFrame([(t,) for t in texts], "props string")
+    got = {(r.key, r.kind): r.n_rows for r in tm.key_profile(df, "props").collect()}
+    assert got == {("k", "string"): 1, ("k", "number"): 1}
+    assert tuples(tm.json_quality(df, "props")) == [(6, 1, 2, 1)]
+
+
 def test_strict_cast(spark):
     df = spark.createDataFrame([(True, 3, "x", 1.5)], "b boolean, n bigint, s string, d double")
     out = tm.strict_cast(df, {"b": "number", "n": "number", "s": "string", "d": "number"})

@@ -41,6 +41,18 @@ def by_text(rows):
     return sorted(rows, key=str)
 
 
+def test_zero_counts_bound_a_series_too(spark):
+    rows = [("a", "2023-01-01", 0), ("a", "2023-01-03", 1), ("a", "2023-01-06", 0), ("b", "2023-01-03", 2)]
+    counts = spark.createDataFrame(rows, "key string, date string, daily_count long")
+    counts = counts.withColumn("date", F.col("date").cast("date"))
+    stats = tm.stats_from_counts(counts, "key", "global").orderBy("key", "date").collect()
+    assert [(r.key, r.days_elapsed) for r in stats] == [(k, i) for k in "ab" for i in range(6)]
+    dense = tm.densify(counts, "key", bounds="global").orderBy("key", "date").collect()
+    assert [(r.key, r.date) for r in dense] == [(r.key, r.date) for r in stats]
+    bounds = tm.date_bounds(counts).first()
+    assert (str(bounds.first_day), str(bounds.last_day)) == ("2023-01-01", "2023-01-06")
+
+
 def test_toy_stats(toy):
     assert sorted(tuples(tm.series_stats(toy, "created_at"))) == [
         (D(2023, 1, 1), 2, 2, 0),

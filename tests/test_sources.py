@@ -64,6 +64,18 @@ def test_unused_nested_fields_are_not_read(spark, tmp_path):
         ("12:30", None),
         ("", None),
         (None, None),
+        ("Wed Mar 08 2023", dt.date(2023, 3, 8)),
+        ("March 8, 2023", dt.date(2023, 3, 8)),
+        ("8 Mar 2023 10:00 GMT", dt.date(2023, 3, 8)),
+        ("03/08/2023", dt.date(2023, 3, 8)),
+        ("1678269600000", dt.date(2023, 3, 8)),
+        ("Wed, 08 Mar 2023 10:00:00 GMT", dt.date(2023, 3, 8)),
+        ("Wed Mar 08 2023 10:00:00 GMT+0000 (Coordinated Universal Time)", dt.date(2023, 3, 8)),
+        ("mar 8 2023", dt.date(2023, 3, 8)),
+        ("31 Feb 2023", None),
+        ("13/40/2023", None),
+        ("Wed Foo 08 2023", None),
+        ("8 Mar 2023 10:00 PST", None),
     ],
 )
 def test_parse_day(spark, text, day):

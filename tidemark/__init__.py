@@ -16,7 +16,7 @@ from tidemark.operators.forecast import crossing_date, forecast_until, predict_r
 from tidemark.operators.gaps import date_spine, densify, join_spine
 from tidemark.operators.listing import event_listing
 from tidemark.operators.poisson import fit_poisson, fit_poisson_distributed, predict_vectors
-from tidemark.operators.profile import key_profile
+from tidemark.operators.profile import json_quality, key_profile
 from tidemark.operators.strict import strict_cast
 from tidemark.operators.threshold import first_reaching
 from tidemark.operators.totals import days_elapsed, running_total, running_total_rows
@@ -40,7 +40,7 @@ from tidemark.sources.events import (
     read_table,
     unnest_documents,
 )
-from tidemark.sources.sinks import tabular_view, write_series
+from tidemark.sources.sinks import ordered_series, tabular_view, write_series
 
 __all__ = [
     "actual_series",
@@ -70,6 +70,7 @@ __all__ = [
     "forecast_until",
     "iso_date",
     "join_spine",
+    "json_quality",
     "key_profile",
     "list_tables",
     "long_date",
@@ -97,6 +98,7 @@ __all__ = [
     "to_records",
     "unnest_documents",
     "vectors_to_rows",
+    "ordered_series",
     "write_series",
     "zero_if_null",
     "zip_vectors",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list
 
@@ -20,23 +20,34 @@ def first_wins(
 ) -> DataFrame:
     """First value per entity and key: ``(entity..., key, value)``.
 
-    ``order_by`` must be unique within an entity and key, and not null. An
-    aggregate, so repeats are dropped before the shuffle. Empty or null keys
-    fail the job unless allowed; so do repeated keys when not allowed.
+    ``order_by`` must be unique within an entity and key; a null in it fails the
+    job, since its value would have no place. An aggregate, so repeats are dropped
+    before the shuffle: by hash with one order column and a value of fixed width,
+    else after a sort within each task. Empty or null keys fail the job unless
+    allowed; so do repeated keys when not allowed.
     """
     entities, order = key_list(entity), key_list(order_by)
     name = F.col(key)
     if not allow_empty_key:
         text = F.raise_error("empty or null key").cast(df.schema[key].dataType)
         name = F.when(name.isNull() | (name.cast("string") == ""), text).otherwise(name)
-    first = F.min_by(value, F.struct(*order) if len(order) > 1 else F.col(order[0]))
+    placed = [_not_null(df, column).alias(column) for column in order]
+    first = F.min_by(value, F.struct(*placed) if len(order) > 1 else placed[0])
     if not allow_duplicate_key:
         repeated = F.raise_error("duplicate key").cast(df.schema[value].dataType)
         first = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(first)
     return df.groupBy(*entities, name.alias(key)).agg(first.alias(value))
 
 
+def _not_null(df: DataFrame, column: str) -> Column:
+    missing = F.raise_error(f"null order in {column}").cast(df.schema[column].dataType)
+    return F.when(F.col(column).isNull(), missing).otherwise(F.col(column))
+
+
 def collapse_to_map(collapsed: DataFrame, entity: str | Sequence[str], key: str, value: str) -> DataFrame:
-    """One map per entity from the rows of ``first_wins``, keys sorted."""
+    """One map per entity from the rows of ``first_wins``, keys sorted.
+
+    A map is one value of one row, so all keys of an entity must fit in a row.
+    """
     entries = F.sort_array(F.collect_list(F.struct(key, value)))
     return collapsed.groupBy(*key_list(entity)).agg(F.map_from_entries(entries).alias("record"))

@@ -22,17 +22,19 @@ def daily_counts(df: DataFrame, time_col: str, by: str | Sequence[str] | None =
     )
 
 
-def date_bounds(counts: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
-    """First and last day with events: ``(by..., first_day, last_day)``.
-
-    Takes the counts rather than the events. With the same null filter as the
-    series and with ``daily_count`` kept in use, the plan below is the one of
-    the series, so both share one aggregation exchange and one scan.
+def date_bounds(
+    counts: DataFrame, by: str | Sequence[str] | None = None, used: Sequence[str] = ("daily_count",)
+) -> DataFrame:
+    """First and last dated row, of any count: ``(by..., first_day, last_day)``.
+
+    Takes the counts rather than the events. The extremes are those of the date;
+    naming the other columns the series uses, ``used``, keeps the plan below the
+    one of the series, so both share one aggregation exchange and one scan.
     """
-    seen = F.when(F.col("daily_count") > 0, F.col("date"))
     dated = counts.where(F.col("date").isNotNull())
+    row = F.struct("date", *used)
     return dated.groupBy(*key_list(by)).agg(
-        F.min(seen).alias("first_day"), F.max(seen).alias("last_day")
+        F.min(row)["date"].alias("first_day"), F.max(row)["date"].alias("last_day")
     )
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidemark.functions.columns import as_column, key_list
 from tidemark.functions.dates import add_days, long_date
-from tidemark.operators.poisson import CALENDAR_DAYS
+from tidemark.operators.poisson import CALENDAR_DAYS, LAST_DATE
+
+BLOCK_DAYS = 4096
 
 
 def predict_response(intercept: Column | str, slope: Column | str, x: Column | str) -> Column:
@@ -17,7 +19,7 @@ def predict_response(intercept: Column | str, slope: Column | str, x: Column | s
 
 
 def forecast_range(
-    model: DataFrame, target: Column | float, max_horizon: int = CALENDAR_DAYS
+    model: DataFrame, target: Column | float, max_horizon: int | None = None
 ) -> DataFrame:
     """Add ``_first_x``, ``_last_x`` and ``status`` to each model row.
 
@@ -25,15 +27,22 @@ def forecast_range(
     coefficients, not searched for. ``status`` is
 
     * ``already_past``: the offset after the last observed one is there already,
-    * ``reached``: the target is met within ``max_horizon`` offsets,
-    * ``horizon``: it is met later, the forecast stops at the horizon,
+    * ``reached``: the target is met, within ``max_horizon`` offsets if given,
+    * ``horizon``: it is met later, the forecast stops at the given horizon,
+    * ``beyond_calendar``: it is met after the year 9999, there are no forecast rows,
     * ``no_crossing``: it is never met, there are no forecast rows.
+
+    The calendar is counted from ``min_date`` where the model has it.
     """
     at = "exp(intercept + slope * ({}))".format
     past = f"(_goal <= 0 OR {at('_first_x')} >= _goal)"
+    origin = "min_date" if "min_date" in model.columns else "CAST(NULL AS DATE)"
+    end = f"coalesce(datediff(DATE'{LAST_DATE}', {origin}), {CALENDAR_DAYS})"
     # clamp before the cast to bigint, which fails on overflow
-    root = f"CAST(ceil(least((ln(_goal) - intercept) / slope, _first_x + {max_horizon})) AS BIGINT)"
-    model = model.withColumns({"_goal": as_column(target).cast("double"), "_first_x": F.expr("last_x + 1")})
+    root = "CAST(ceil(least((ln(_goal) - intercept) / slope, greatest(_end, _first_x) + 2)) AS BIGINT)"
+    model = model.withColumns(
+        {"_goal": as_column(target).cast("double"), "_first_x": F.expr("last_x + 1"), "_end": F.expr(end)}
+    )
     solved = f"CASE WHEN {past} THEN _first_x WHEN slope > 0 THEN greatest({root}, _first_x) END"
     model = model.withColumn("_root", F.expr(solved))
     # rounding can put the solved offset one day off either way
@@ -42,32 +51,40 @@ def forecast_range(
                      WHEN {at("_root")} < _goal THEN _root + 1
                      ELSE _root END"""
     model = model.withColumn("_exact", F.expr(exact))
-    status = f"""CASE WHEN {past} THEN 'already_past'
-                      WHEN _exact IS NULL THEN 'no_crossing'
-                      WHEN _exact - last_x > {max_horizon} THEN 'horizon'
-                      ELSE 'reached' END"""
-    # least() skips nulls, so the case of no crossing is kept out of it
-    last = f"""CASE WHEN _exact IS NOT NULL
-                    THEN least(_exact, greatest(last_x + {max_horizon}, _first_x)) END"""
-    model = model.withColumns({"status": F.expr(status), "_last_x": F.expr(last)})
-    return model.drop("_goal", "_root", "_exact")
+    within = "true" if max_horizon is None else f"_exact - last_x <= {max_horizon}"
+    status = f"""CASE WHEN _exact IS NULL THEN 'no_crossing'
+                      WHEN ({within}) AND _exact > _end THEN 'beyond_calendar'
+                      WHEN {past} THEN 'already_past'
+                      WHEN {within} THEN 'reached'
+                      WHEN last_x + {max_horizon or 0} > _end THEN 'beyond_calendar'
+                      ELSE 'horizon' END"""
+    last = f"""CASE WHEN status IN ('already_past', 'reached') THEN _exact
+                    WHEN status = 'horizon' THEN greatest(last_x + {max_horizon or 0}, _first_x) END"""
+    model = model.withColumn("status", F.expr(status)).withColumn("_last_x", F.expr(last))
+    return model.drop("_goal", "_root", "_exact", "_end")
 
 
 def forecast_until(
     model: DataFrame,
     target: Column | float,
     by: str | Sequence[str] | None = None,
-    max_horizon: int = CALENDAR_DAYS,
+    max_horizon: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Predictions after the last observed day, through the first to reach ``target``.
 
     ``(by..., days_elapsed, tagCount, status)`` plus the model columns in
-    ``keep``. At least one row per key whose target is met. ``target`` may be an
-    expression on the model columns.
+    ``keep``. At least one row per key whose target is met; none for a key whose
+    target is met never or after the calendar, as ``crossing_date`` tells. Only an
+    explicit ``max_horizon`` cuts a series. ``target`` may be an expression on the
+    model columns.
     """
-    steps = F.expr("CASE WHEN _last_x IS NOT NULL THEN sequence(_first_x, _last_x) END")
-    rows = forecast_range(model, target, max_horizon).withColumn("days_elapsed", F.explode(steps))
+    rows = forecast_range(model, target, max_horizon).where("_last_x IS NOT NULL")
+    # blocks of days first, so that no array is long
+    block = F.explode(F.expr(f"sequence(_first_x, _last_x, {BLOCK_DAYS}L)"))
+    rows = rows.withColumn("_block", block)
+    steps = F.expr(f"sequence(_block, least(_block + {BLOCK_DAYS - 1}, _last_x))")
+    rows = rows.withColumn("days_elapsed", F.explode(steps))
     predicted = predict_response("intercept", "slope", "days_elapsed")
     return rows.select(*key_list(by), *keep, "days_elapsed", predicted.alias("tagCount"), "status")
 
@@ -76,7 +93,7 @@ def crossing_date(
     model: DataFrame,
     target: Column | float,
     by: str | Sequence[str] | None = None,
-    max_horizon: int = CALENDAR_DAYS,
+    max_horizon: int | None = None,
 ) -> DataFrame:
     """``(by..., status, last_day, crossing_date, crossing_text)``, one row per key.
 

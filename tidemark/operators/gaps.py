@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list, same_keys
 from tidemark.functions.dates import date_series
 from tidemark.functions.missing import zero_if_null
+from tidemark.operators.counts import date_bounds
 
 ZERO_COUNT: Mapping[str, object] = {"daily_count": 0}
 
@@ -84,6 +85,15 @@ def expand_gaps(
     return rows.withColumn("_day", F.explode(date_series(starts, ends)))
 
 
+def global_bounds(
+    counts: DataFrame, bounds: str, keys: Sequence[str], used: Sequence[str] = ("daily_count",)
+) -> DataFrame | None:
+    """The one row that ``expand_gaps`` wants for ``bounds``, or none."""
+    if bounds not in ("per_key", "global"):
+        raise ValueError(f"bounds must be per_key or global, not {bounds}")
+    return date_bounds(counts, used=used) if bounds == "global" and keys else None
+
+
 def densify(
     counts: DataFrame,
     by: str | Sequence[str] | None = None,
@@ -101,7 +111,7 @@ def densify(
     """
     keys = key_list(by)
     dated = counts.select(*keys, "date", *fill).where(F.col("date").isNotNull())
-    row = _global_bounds(dated, bounds, keys, fill)
+    row = global_bounds(dated, bounds, keys, list(fill))
     rows = expand_gaps(dated, keys, row, {}, max_gap_days)
     return rows.select(
         *keys,
@@ -113,16 +123,3 @@ def densify(
             for c, value in fill.items()
         ],
     )
-
-
-def _global_bounds(
-    dated: DataFrame, bounds: str, keys: Sequence[str], fill: Mapping[str, object]
-) -> DataFrame | None:
-    if bounds not in ("per_key", "global"):
-        raise ValueError(f"bounds must be per_key or global, not {bounds}")
-    if bounds == "per_key" or not keys:
-        return None
-    # the extremes are those of the date; naming the other columns keeps them in
-    # the plan below, which is then shared with the series instead of run twice
-    row = F.struct("date", *fill)
-    return dated.agg(F.min(row)["date"].alias("first_day"), F.max(row)["date"].alias("last_day"))

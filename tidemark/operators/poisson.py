@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Days in the years 1 to 9999, the range of a date.
 CALENDAR_DAYS = 3_652_059
+LAST_DATE = "9999-12-31"
 MAX_STEPS = 25
 MAX_HALVINGS = 30
 STEP_TOLERANCE = 1e-8  # convergence is quadratic, so the error left is far smaller
@@ -159,7 +160,7 @@ def fit_poisson(
     keys = key_list(by)
     if not isinstance(series.schema[x].dataType, T.IntegralType):
         raise TypeError(f"{x} must hold whole days; use fit_poisson_distributed for other predictors")
-    limit = F.raise_error(f"{x} is not a day offset; use fit_poisson_distributed").cast("bigint")
+    limit = F.raise_error(f"{x} is not a day offset: scale it to one per key first").cast("bigint")
     offset = F.when(F.abs(x) <= CALENDAR_DAYS, F.col(x)).otherwise(limit).cast("bigint")
     points = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys,
@@ -190,47 +191,65 @@ def fit_poisson(
 
 
 def fit_poisson_distributed(
-    series: DataFrame, x: str = "days_elapsed", y: str = "running_cumulative_sum"
+    series: DataFrame,
+    x: str = "days_elapsed",
+    y: str = "running_cumulative_sum",
+    origin: str | None = None,
 ) -> DataFrame:
-    """Fit one series with Spark ML: ``(intercept, slope)``.
+    """Fit one series with Spark ML, eagerly: the model row of ``fit_poisson``.
 
-    For predictors with more distinct values than a calendar has days. Runs one
-    job per iteration when called, and two numbers return to the driver. Rows
-    that share a predictor value are first reduced to their count and mean; the
-    iterations then start from the shuffle files of that step, not the source.
+    For predictors with more distinct values than a calendar has days. It runs
+    one job per iteration when called, and two numbers return to the driver; the
+    rest of the row is a lazy aggregate. Rows that share a predictor value are
+    first reduced to their count and mean; the iterations then start from the
+    shuffle files of that step, not the source.
     """
-    rows = (
-        series.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .dropna()
-        .groupBy("x")
-        .agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = series.select(
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+        (F.col(origin) if origin else F.lit(None).cast("date")).alias("date"),
+    ).dropna(subset=["x", "y"])
+    points = rows.groupBy("x").agg(
+        F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"), F.min("date").alias("date")
     )
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
     regression = GeneralizedLinearRegression(
         family="poisson", link="log", maxIter=MAX_STEPS, tol=1e-10, weightCol="weight"
     )
     model = regression.fit(features)
-    coefficients = [(float(model.intercept), float(model.coefficients[0]))]
-    return series.sparkSession.createDataFrame(coefficients, "intercept double, slope double")
+    return points.agg(
+        F.lit(float(model.intercept)).alias("intercept"),
+        F.lit(float(model.coefficients[0])).alias("slope"),
+        F.sum("weight").cast("bigint").alias("n_points"),
+        F.max("x").cast("bigint").alias("last_x"),
+        F.max_by("label", "x").alias("last_y"),
+        *([F.min("date").alias("min_date")] if origin else []),
+    )
 
 
 def predict_vectors(csum: np.ndarray, days_elapsed: np.ndarray, target_csum: float) -> dict:
     """Vector function for ``apply_series``: fit, then predict day by day.
 
     Returns the days after the last one up to and including the first whose
-    prediction reaches the target; none if the fit never gets there.
+    prediction reaches the target, the same days as ``forecast_until``; none if the
+    fit gets there never or after the calendar.
     """
     x, y = days_elapsed.astype(float), csum.astype(float)
     b0, b1 = (float(c[0]) for c in newton_fit(x, np.ones_like(x), y, np.array([0])))
     first = x.max() + 1
-    if b0 + b1 * first >= np.log(max(target_csum, 1e-300)):
+    if target_csum <= 0 or np.exp(b0 + b1 * first) >= target_csum:
         last = first
     elif b1 > 0:
         last = max(first, np.ceil((np.log(target_csum) - b0) / b1))
+        # rounding can put the solved day one off either way
+        if last > first and np.exp(b0 + b1 * (last - 1)) >= target_csum:
+            last -= 1
+        elif np.exp(b0 + b1 * last) < target_csum:
+            last += 1
     else:
         last = first - 1
-    if last - first > CALENDAR_DAYS:
-        raise ValueError("the target is not reached within the calendar")
+    if last > CALENDAR_DAYS:
+        last = first - 1
     days = np.arange(first, last + 1)
     predicted = np.exp(b0 + b1 * days)
     return {"days_elapsed": days.astype("int64"), "tagCount": predicted}

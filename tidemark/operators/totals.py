@@ -11,7 +11,6 @@ from tidemark.functions.columns import as_column, key_list, same_keys
 from tidemark.functions.dates import days_between
 
 SAMPLE_PER_BUCKET = 64
-SAMPLE_LIMIT = 1 << 20  # fewer samples per bucket beyond, but never under eight
 HASH_RANGE = 1 << 40
 
 
@@ -114,7 +113,7 @@ def _with_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     position = F.struct(
         *[c.alias(f"p{i}") for i, n in enumerate(names) for c in (F.col(n).isNull(), F.col(n))]
     )
-    wanted = buckets * max(8, min(SAMPLE_PER_BUCKET, SAMPLE_LIMIT // buckets))
+    wanted = buckets * SAMPLE_PER_BUCKET
     n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     # hash below share of range: the same rows are chosen in every evaluation
     share = F.lit(float(wanted) * HASH_RANGE) / F.greatest(n_rows, F.lit(1))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list
 from tidemark.functions.dates import add_days
 from tidemark.operators.forecast import forecast_until
-from tidemark.operators.poisson import CALENDAR_DAYS
 
 # The names of the two chart series.
 ACTUAL = "Actual Count"
@@ -30,15 +29,20 @@ def predicted_series(
     model: DataFrame,
     target: Column | float,
     by: str | Sequence[str] | None = None,
-    max_horizon: int = CALENDAR_DAYS,
+    max_horizon: int | None = None,
 ) -> DataFrame:
-    """Forecast by calendar day, in the same columns. Needs ``min_date`` in the model."""
+    """Forecast by calendar day, in the same columns. Needs ``min_date`` in the model.
+
+    With an explicit ``max_horizon``, which may cut a series, ``status`` is kept.
+    """
     rows = forecast_until(model, target, by, max_horizon, keep=["min_date"])
+    status = [] if max_horizon is None else ["status"]
     return rows.select(
         *key_list(by),
         add_days("min_date", "days_elapsed").alias("day"),
         "tagCount",
         F.lit(PREDICTED).alias("valueType"),
+        *status,
     )
 
 
@@ -47,8 +51,11 @@ def combined_series(
     model: DataFrame,
     target: Column | float,
     by: str | Sequence[str] | None = None,
-    max_horizon: int = CALENDAR_DAYS,
+    max_horizon: int | None = None,
 ) -> DataFrame:
-    """Actual rows followed by predicted rows (sort at the sink)."""
+    """Actual rows followed by predicted rows (sort at the sink).
+
+    ``status`` is as in ``predicted_series``, null for actual rows.
+    """
     predicted = predicted_series(model, target, by, max_horizon)
-    return actual_series(stats, by).unionByName(predicted)
+    return actual_series(stats, by).unionByName(predicted, allowMissingColumns=True)

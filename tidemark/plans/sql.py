@@ -10,9 +10,8 @@ WITH counts AS (
   GROUP BY ALL
 ),
 bounds AS (
-  SELECT min(date) AS first_day, max(date) AS last_day
+  SELECT min(struct(date, daily_count)).date AS first_day, max(struct(date, daily_count)).date AS last_day
   FROM counts
-  WHERE daily_count > 0
 ),
 spine AS (
   SELECT first_day, explode(sequence(first_day, last_day, INTERVAL 1 DAY)) AS date

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 from tidemark.functions.columns import key_list
 from tidemark.functions.dates import days_between
-from tidemark.operators.counts import daily_counts, date_bounds
-from tidemark.operators.gaps import expand_gaps
+from tidemark.operators.counts import daily_counts
+from tidemark.operators.gaps import expand_gaps, global_bounds
 from tidemark.operators.poisson import fit_poisson
 
 
+# Column names of the statistics that readers of the results rely on are
+# ``filled_daily_count``, ``running_cumulative_sum``, ``days_elapsed`` and ``csum``;
+# of the forecast and the chart series, ``tagCount`` and ``valueType``.
+
+
 def series_stats(
     events: DataFrame,
     time_col: str,
@@ -43,9 +48,7 @@ def stats_from_counts(
     ``bounds`` is as in ``densify``.
     """
     keys = key_list(by)
-    if bounds not in ("per_key", "global"):
-        raise ValueError(f"bounds must be per_key or global, not {bounds}")
-    row = date_bounds(counts) if bounds == "global" and keys else None
+    row = global_bounds(counts, bounds, keys)
     so_far = _so_far(keys)
     carry = {
         "_total": F.sum("daily_count").over(so_far),

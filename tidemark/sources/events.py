@@ -13,7 +13,15 @@ EVENT_FIELDS = "slug string, created_at string"
 
 # A date text must open with a four-digit year. Without this, Spark's cast reads
 # a bare time of day as that time on the current date.
-YEAR_FIRST = r"^\s*\d{4}"
+YEAR_FIRST = r"^\s*\d{4}-|^\s*\d{4}\s*$"
+MILLIS = r"^\s*-?\d{11,15}\s*$"
+WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
+MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+# what may follow the date: a time of day in UTC
+REST = r"(?:,?\s+\d{1,2}:\d{2}(?::\d{2})?)?(?:\s*(?:GMT|UTC|Z)(?:\+0000)?)?(?:\s+\([^)]*\))?$"
+DAY_FIRST = rf"(?i)^(\d{{1,2}})[\s-]{MONTH}[\s-](\d{{4}}){REST}"
+MONTH_FIRST = rf"(?i)^{MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}}){REST}"
+SLASHES = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){REST}"
 
 
 def document_schema(array_field: str = "tags", fields: str = EVENT_FIELDS) -> str:
@@ -55,9 +63,25 @@ def unnest_documents(
 
 
 def parse_day(text: Column | str) -> Column:
-    """Date of an ISO date or date-time text; null where the text is not one."""
+    """Day, in UTC, of a date or date-time text; null where the text is not one.
+
+    Read are ISO texts; ``8 Mar 2023`` and ``March 8, 2023`` with or without a
+    weekday, a time of day and ``GMT``; ``3/8/2023``, the month first; and
+    milliseconds since 1970 as at least 11 digits.
+    """
     column = as_column(text)
-    return F.when(column.rlike(YEAR_FIRST), F.to_date(F.try_to_timestamp(column)))
+    bare = F.regexp_replace(F.trim(column), WEEKDAY, "")
+    parts = lambda sep, pattern, *order: F.concat_ws(sep, *[F.regexp_extract(bare, pattern, i) for i in order])
+    named = F.when(bare.rlike(DAY_FIRST), parts(" ", DAY_FIRST, 1, 2, 3))
+    named = named.when(bare.rlike(MONTH_FIRST), parts(" ", MONTH_FIRST, 2, 1, 3))
+    numbers = F.when(bare.rlike(SLASHES), parts("/", SLASHES, 1, 2, 3))
+    millis = F.when(column.rlike(MILLIS), F.timestamp_millis(F.trim(column).cast("bigint")))
+    return (
+        F.when(column.rlike(MILLIS), F.to_date(millis))
+        .when(column.rlike(YEAR_FIRST), F.to_date(F.try_to_timestamp(column)))
+        .when(named.isNotNull(), F.to_date(F.try_to_timestamp(F.initcap(named), F.lit("d MMM yyyy"))))
+        .otherwise(F.to_date(F.try_to_timestamp(numbers, F.lit("M/d/yyyy"))))
+    )
 
 
 def parse_days(df: DataFrame, column: str = "created_at") -> DataFrame:

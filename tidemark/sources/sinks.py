@@ -27,6 +27,11 @@ def series_order(by: str | Sequence[str] | None = None) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in names]
 
 
+def ordered_series(series: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
+    """A long-form series sorted by key, series and day, as a chart wants it."""
+    return series.orderBy(*series_order(by))
+
+
 def write_series(
     series: DataFrame,
     path: str,
@@ -38,7 +43,7 @@ def write_series(
 
     The sort is range-partitioned, so each file holds one stretch of the order.
     """
-    writer = series.orderBy(*series_order(by)).write.mode(mode).format(fmt)
+    writer = ordered_series(series, by).write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(path)
