@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from llm_fixtures import docs, no_docs, sf_dir, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

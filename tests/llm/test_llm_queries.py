@@ -3,6 +3,7 @@
 import warnings
 
 import pytest
+from llm_fixtures import sf_dir  # noqa: F401
 from oracle_check import differences, oracle_connection
 
 from tidemark.llm import queries

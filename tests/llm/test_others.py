@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs, no_docs, sf_dir, texts  # noqa: F401
+
 import corpus_pipeline
 from tidemark.llm import chat, topk, urls
 from tidemark.llm.queries import RULES
