@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS = 256
 WORDS = 5
 BUCKET_ROWS = 1024  # documents of a bucket of neighbouring ids, while there are at most MOST_BUCKETS
-MOST_BUCKETS = 1000  # bounds what the driver holds
+MOST_BUCKETS = 20_000  # bounds what the driver holds: one number and one id for each
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> np.ndarray:
