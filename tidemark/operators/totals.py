@@ -66,8 +66,9 @@ def running_total_rows(
 
     A row's bucket depends only on its values and on split points taken from a
     hash-chosen sample. Recomputing a lost partition gives the same bucket, so
-    nothing needs to be cached or checkpointed. The rows are shuffled once; the
-    other passes read key and order columns only. Nulls sort last.
+    nothing needs to be cached or checkpointed. The rows are shuffled once; three
+    passes before it count the rows, sample key and order columns, and sum the value
+    by bucket, so the source is read four times in all. Nulls sort last.
     """
     keys, order = key_list(by), key_list(order_by)
     if peers:
