@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, fingerprints, jaccard, language, lines, mixing, repeats, topk, urls
+from tidemark.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    packing,
+    ranking,
+    repeats,
+    topk,
+    urls,
+    whitening,
+)
 
 RULES = [
     ("allow", "com/"),
@@ -69,6 +83,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(_table(spark, sf_dir, "documents"), words=4, share=(85, 100))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_topk,
     op2_repeats,
@@ -80,6 +106,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_lines,
     op9_urls,
     op10_jaccard,
+    op11_packing,
+    op12_ranking,
+    op13_whitening,
 ]
 
 
@@ -131,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat": CHAT_SQL,
         "op8_lines": LINES_SQL,
         "op9_urls": urls.judge_sql(RULES),
+        "op12_ranking": ranking.rank_sql(),
     }
