@@ -14,8 +14,8 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test table
 
 
 def executed_plan(df):
-    df.collect()
     """All final plans, those of subqueries included; initial plans are cut out by their indent."""
+    df.collect()
     kept, skip = [], None
     for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
         indent = len(re.match(r"[\s:|+-]*", line).group())
@@ -67,9 +67,12 @@ def test_keyed_series_need_no_join(spark, name):
     assert "SinglePartition" not in plan
 
 
-def test_row_totals_scan_in_subqueries_is_seen(spark):
-    plan = executed_plan(entry.queries()["running_total_rows"](spark, SF_DIR))
-    assert "Subquery" in plan and "collect_set" in plan
+@pytest.mark.parametrize(("name", "reads"), [("running_total_rows", 2), ("running_total_rows_by_key", 2), ("running_total_peers", 3)])
+def test_row_totals_read_the_source_twice(spark, name, reads):
+    """Once for split points, once for rows; with peers the rows are joined back to."""
+    plan = executed_plan(entry.queries()[name](spark, SF_DIR))
+    assert plan.count("FileScan") == reads
+    assert "ReusedExchange" in plan
 
 
 def test_first_wins_hashes_one_fixed_width_order(spark):

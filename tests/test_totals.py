@@ -72,19 +72,42 @@ def test_decimals_stay_exact(spark):
 
 
 def test_a_hot_key_is_spread_over_buckets(spark):
-    from tidemark.operators.totals import _with_bucket
+    from tidemark.operators.totals import _split_points, _with_bucket
 
     df = spark.range(20000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
-    placed = _with_bucket(df, ["key"], ["id"], 16)
+    placed = _with_bucket(df, ["key", "id"], _split_points(df, ["key", "id"], 16), 16)
     sizes = [row["count"] for row in placed.groupBy("_bucket").count().collect()]
     assert sum(sizes) == 20000
     assert max(sizes) < 3 * 20000 / 16
 
 
 def test_bucket_follows_the_order(spark):
-    from tidemark.operators.totals import _with_bucket
+    from tidemark.operators.totals import _split_points, _with_bucket
 
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("id"))
-    buckets = [row._bucket for row in _with_bucket(df, [], ["id"], 10).orderBy("id").collect()]
+    placed = _with_bucket(df, ["id"], _split_points(df, ["id"], 10), 10)
+    buckets = [row._bucket for row in placed.orderBy("id").collect()]
     assert buckets == sorted(buckets)
     assert set(buckets) == set(range(11))
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_buckets_are_even_whatever_the_partitions(spark, parts):
+    from tidemark.operators.totals import _split_points, _with_bucket
+
+    df = spark.range(200_000).select(F.expr("id * id").alias("id")).repartition(parts)
+    placed = _with_bucket(df, ["id"], _split_points(df, ["id"], 8), 8)
+    sizes = [row["count"] for row in placed.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) == 9
+    assert max(sizes) < 2 * 200_000 / 9
+
+
+def test_sample_is_bounded_by_the_buckets(spark):
+    from tidemark.operators import totals
+
+    df = spark.range(500_000).repartition(3)
+    plan = spark.range(1).select(totals._split_points(df, ["id"], 4).alias("cuts"))
+    cuts = plan.first().cuts
+    assert 1 <= len(cuts) <= 4 and cuts == sorted(cuts)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text
