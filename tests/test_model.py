@@ -305,3 +305,77 @@ def test_combined_series(toy):
     rows = tm.combined_series(tm.stats_from_counts(counts), tm.fit_counts(counts), 10).orderBy("day").collect()
     assert [r.valueType for r in rows] == ["Actual Count"] * 6 + ["Predicted"] * 5
     assert [r.tagCount for r in rows[:6]] == [2, 2, 3, 3, 3, 5]
+
+
+def keyed_points(spark, seed):
+    """Rising, falling, steep, flat, zero, single-point and null-key series; one key holds most rows."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    shapes = {"rise": 0.02, "fall": -0.05, "steep": 0.9, None: 0.01}
+    for key, slope in shapes.items():
+        for x in range(40):
+            rows += [(key, x, float(rng.poisson(np.exp(1 + slope * x)))) for _ in range(2)]
+    rows += [("hot", int(x), float(y)) for x, y in zip(rng.integers(0, 3000, 4000), rng.poisson(50, 4000), strict=True)]
+    rows += [("flat", x, 7.0) for x in range(5)] + [("zero", x, 0.0) for x in range(5)]
+    rows += [("one", 3, 11.0), ("mixed", 1, 0.0), ("mixed", 2, 5.0), ("lost", None, 1.0), ("rise", 4, None)]
+    return spark.createDataFrame(rows, "key string, x bigint, y double")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_keyed_distributed_fit_equals_the_grouped_one(spark, seed):
+    df = keyed_points(spark, seed)
+    names = ["intercept", "slope", "n_points", "last_x", "last_y"]
+    near = {r.key: r for r in tm.fit_poisson(df, "x", "y", by="key").collect()}
+    far = {r.key: r for r in tm.fit_poisson_distributed(df, "x", "y", by="key").collect()}
+    assert near.keys() == far.keys()
+    for key, row in near.items():
+        for name in names:
+            if row[name] is None:
+                assert far[key][name] is None
+            else:
+                assert far[key][name] == pytest.approx(row[name], rel=1e-7, abs=1e-7), (key, name)
+
+
+def test_keyed_distributed_fit_takes_any_predictor(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1e6, 1e6, 3000)
+    y = rng.poisson(np.exp(2 + 1e-6 * x))
+    rows = [("a", 1, float(v), float(w)) for v, w in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "k string, j int, x double, y double")
+    row = tm.fit_poisson_distributed(df, "x", "y", by=["k", "j"]).first()
+    assert (row.intercept, row.slope) == pytest.approx(tuple(brute_fit(x / 1e6, y) * [1, 1e-6]), rel=1e-6)
+    assert row.last_x == pytest.approx(x.max())
+    assert tm.fit_poisson_distributed(df.where("false"), "x", "y", by="k").collect() == []
+    with pytest.raises(Exception, match="needs values"):
+        tm.fit_poisson_distributed(df.withColumn("y", F.lit(-1.0)), "x", "y", by="k").collect()
+
+
+def test_later_rounds_read_unfinished_keys_only(spark, monkeypatch):
+    from tidemark.operators import poisson
+
+    active = []
+    plain = poisson._newton_round
+    monkeypatch.setattr(poisson, "_newton_round", lambda p, a, k: active.append(a.count()) or plain(p, a, k))
+    tm.fit_poisson_distributed(keyed_points(spark, 0), "x", "y", by="key").collect()
+    assert active[0] == 6  # flat, zero and single-point series need no round
+    assert active == sorted(active, reverse=True) and active[-1] < active[0]
+
+
+def test_fractional_predictors_are_kept_and_forecast_by_whole_days(spark):
+    df = spark.createDataFrame([(0.5, 1.0), (1.5, 2.0), (2.5, 4.0), (10.5, 900.0)], "x double, y double")
+    model = tm.fit_poisson_distributed(df, "x", "y")
+    assert model.first().last_x == 10.5
+    days = [r.days_elapsed for r in tm.forecast_until(model, 5000).collect()]
+    assert days[0] == 11 and days == sorted(days)
+
+
+def test_no_generated_code_is_too_large(spark):
+    """A plan whose code outgrows the limit would silently run without code generation."""
+    model = model_row(spark, 0.5, 0.01)
+    target = F.expr("CASE WHEN last_x > 3 THEN 100 WHEN last_x > 2 THEN 1e300 ELSE 2 * last_x END")
+    for rows in (tm.forecast_until(model, target), tm.crossing_date(model, target)):
+        codes = rows._jdf.queryExecution().debug().codegenToSeq()
+        for i in range(codes.size()):
+            code = codes.apply(i)._2()
+            assert len(code) < 100_000
+            assert code.count("exp(") < 12

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,3 +26,8 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     """Equality of aliased key columns in which null equals null."""
     tests = (F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in keys)
     return reduce(lambda a, b: a & b, tests)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tidemark.functions.columns import as_column, key_list
-from tidemark.functions.dates import add_days, long_date
+from tidemark.functions.columns import as_column, bind, key_list
+from tidemark.functions.dates import long_date
+from tidemark.functions.grains import Grain, grain_of
 from tidemark.operators.poisson import CALENDAR_DAYS, LAST_DATE
 
 BLOCK_DAYS = 4096
@@ -19,7 +20,10 @@ def predict_response(intercept: Column | str, slope: Column | str, x: Column | s
 
 
 def forecast_range(
-    model: DataFrame, target: Column | float, max_horizon: int | None = None
+    model: DataFrame,
+    target: Column | float,
+    max_horizon: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
     """Add ``_first_x``, ``_last_x`` and ``status`` to each model row.
 
@@ -32,36 +36,63 @@ def forecast_range(
     * ``beyond_calendar``: it is met after the year 9999, there are no forecast rows,
     * ``no_crossing``: it is never met, there are no forecast rows.
 
-    The calendar is counted from ``min_date`` where the model has it.
+    The calendar is counted from ``min_date``, in periods of ``grain``, where the model has it.
     """
-    at = "exp(intercept + slope * ({}))".format
-    past = f"(_goal <= 0 OR {at('_first_x')} >= _goal)"
-    origin = "min_date" if "min_date" in model.columns else "CAST(NULL AS DATE)"
-    end = f"coalesce(datediff(DATE'{LAST_DATE}', {origin}), {CALENDAR_DAYS})"
+    calendar = F.lit(CALENDAR_DAYS)
+    if "min_date" in model.columns:
+        end = grain_of(grain).start(F.lit(LAST_DATE).cast("date"))
+        calendar = F.coalesce(grain_of(grain).between("min_date", end), calendar)
+    last_day = F.floor("last_x").cast("bigint")  # forecasts are by whole days, whatever the predictor
+    given = F.struct(
+        as_column(target).cast("double").alias("goal"),
+        last_day.alias("last_x"),
+        (last_day + 1).alias("first_x"),
+        *["intercept", "slope"],
+        calendar.cast("bigint").alias("end"),
+    )
+    solved = bind(given, lambda m: bind(_crossing(m), lambda c: _limited(m, c, max_horizon)))
+    model = model.withColumn("_solved", solved)
+    rest = [c for c in model.columns if c != "_solved"]
+    return model.select(*rest, (last_day + 1).alias("_first_x"), F.col("_solved.status").alias("status"), F.col("_solved.last").alias("_last_x"))
+
+
+def _crossing(m: Column) -> Column:
+    """The first offset that reaches the goal, null if none does, and if it is the first of all."""
+    at = lambda x: F.exp(m["intercept"] + m["slope"] * x)
+    past = (m["goal"] <= 0) | (at(m["first_x"]) >= m["goal"])
     # clamp before the cast to bigint, which fails on overflow
-    root = "CAST(ceil(least((ln(_goal) - intercept) / slope, greatest(_end, _first_x) + 2)) AS BIGINT)"
-    model = model.withColumns(
-        {"_goal": as_column(target).cast("double"), "_first_x": F.expr("last_x + 1"), "_end": F.expr(end)}
+    exact_root = F.try_divide(F.ln(m["goal"]) - m["intercept"], m["slope"])
+    limit = (F.greatest(m["end"], m["first_x"]) + 2).cast("double")
+    root = F.greatest(F.ceil(F.least(exact_root, limit)).cast("bigint"), m["first_x"])
+
+    def exact(r: Column) -> Column:
+        # rounding can put the solved offset one day off either way
+        before = (r > m["first_x"]) & (at(r - 1) >= m["goal"])
+        return F.when(before, r - 1).when(at(r) < m["goal"], r + 1).otherwise(r)
+
+    found = F.when(past, m["first_x"]).when(m["slope"] > 0, bind(root, exact))
+    return F.struct(past.alias("past"), found.alias("x"))
+
+
+def _limited(m: Column, c: Column, max_horizon: int | None) -> Column:
+    """Status and last offset of the forecast to the crossing ``c``."""
+    horizon = max_horizon or 0
+    within = F.lit(True) if max_horizon is None else c["x"] - m["last_x"] <= max_horizon
+    status = (
+        F.when(c["x"].isNull(), "no_crossing")
+        .when(within & (c["x"] > m["end"]), "beyond_calendar")
+        .when(c["past"], "already_past")
+        .when(within, "reached")
+        .when(m["last_x"] + horizon > m["end"], "beyond_calendar")
+        .otherwise("horizon")
     )
-    solved = f"CASE WHEN {past} THEN _first_x WHEN slope > 0 THEN greatest({root}, _first_x) END"
-    model = model.withColumn("_root", F.expr(solved))
-    # rounding can put the solved offset one day off either way
-    exact = f"""CASE WHEN {past} THEN _root
-                     WHEN _root > _first_x AND {at("_root - 1")} >= _goal THEN _root - 1
-                     WHEN {at("_root")} < _goal THEN _root + 1
-                     ELSE _root END"""
-    model = model.withColumn("_exact", F.expr(exact))
-    within = "true" if max_horizon is None else f"_exact - last_x <= {max_horizon}"
-    status = f"""CASE WHEN _exact IS NULL THEN 'no_crossing'
-                      WHEN ({within}) AND _exact > _end THEN 'beyond_calendar'
-                      WHEN {past} THEN 'already_past'
-                      WHEN {within} THEN 'reached'
-                      WHEN last_x + {max_horizon or 0} > _end THEN 'beyond_calendar'
-                      ELSE 'horizon' END"""
-    last = f"""CASE WHEN status IN ('already_past', 'reached') THEN _exact
-                    WHEN status = 'horizon' THEN greatest(last_x + {max_horizon or 0}, _first_x) END"""
-    model = model.withColumn("status", F.expr(status)).withColumn("_last_x", F.expr(last))
-    return model.drop("_goal", "_root", "_exact", "_end")
+    cut = F.greatest(m["last_x"] + horizon, m["first_x"])
+
+    def ended(s: Column) -> Column:
+        last = F.when(s.isin("already_past", "reached"), c["x"]).when(s == "horizon", cut)
+        return F.struct(s.alias("status"), last.alias("last"))
+
+    return bind(status, ended)
 
 
 def forecast_until(
@@ -70,6 +101,7 @@ def forecast_until(
     by: str | Sequence[str] | None = None,
     max_horizon: int | None = None,
     keep: Sequence[str] = (),
+    grain: str | Grain = "day",
 ) -> DataFrame:
     """Predictions after the last observed day, through the first to reach ``target``.
 
@@ -79,7 +111,7 @@ def forecast_until(
     explicit ``max_horizon`` cuts a series. ``target`` may be an expression on the
     model columns.
     """
-    rows = forecast_range(model, target, max_horizon).where("_last_x IS NOT NULL")
+    rows = forecast_range(model, target, max_horizon, grain).where("_last_x IS NOT NULL")
     # blocks of days first, so that no array is long
     block = F.explode(F.expr(f"sequence(_first_x, _last_x, {BLOCK_DAYS}L)"))
     rows = rows.withColumn("_block", block)
@@ -94,6 +126,7 @@ def crossing_date(
     target: Column | float,
     by: str | Sequence[str] | None = None,
     max_horizon: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
     """``(by..., status, last_day, crossing_date, crossing_text)``, one row per key.
 
@@ -101,7 +134,7 @@ def crossing_date(
     from the coefficients. Null unless the target is met.
     """
     met = "CASE WHEN status IN ('reached', 'already_past') THEN _last_x END"
-    rows = forecast_range(model, target, max_horizon).withColumn("last_day", F.expr(met))
-    rows = rows.withColumn("crossing_date", add_days("min_date", "last_day"))
+    rows = forecast_range(model, target, max_horizon, grain).withColumn("last_day", F.expr(met))
+    rows = rows.withColumn("crossing_date", grain_of(grain).add("min_date", "last_day"))
     text = long_date("crossing_date").alias("crossing_text")
     return rows.select(*key_list(by), "status", "last_day", "crossing_date", text)

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tidemark.functions.columns import key_list
+from tidemark.functions.columns import key_list, same_keys
+from tidemark.staging import written
 
 # Python workers get the functions of this module by value, so that executors need
 # no copy of the package.
@@ -24,8 +25,10 @@ CALENDAR_DAYS = 3_652_059
 LAST_DATE = "9999-12-31"
 MAX_STEPS = 25
 MAX_HALVINGS = 30
+MAX_ROUNDS = 60  # of the keyed distributed fit, tried steps and halvings together
 STEP_TOLERANCE = 1e-8  # convergence is quadratic, so the error left is far smaller
 CHUNK_POINTS = 1 << 18
+SALTS = 16  # parts that the points of a key are joined in
 
 COEFFICIENTS = T.StructType(
     [T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())]
@@ -195,24 +198,32 @@ def fit_poisson_distributed(
     x: str = "days_elapsed",
     y: str = "running_cumulative_sum",
     origin: str | None = None,
+    by: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Fit one series with Spark ML, eagerly: the model row of ``fit_poisson``.
+    """The model rows of ``fit_poisson`` for series that no task could hold, eagerly.
 
-    For predictors with more distinct values than a calendar has days. It runs
-    one job per iteration when called, and two numbers return to the driver; the
-    rest of the row is a lazy aggregate. Rows that share a predictor value are
-    first reduced to their count and mean; the iterations then start from the
-    shuffle files of that step, not the source.
+    For predictors with more distinct values than a calendar has days, of any type.
+    Rows that share a predictor value are first reduced to their count and mean.
+    Without keys, Spark ML fits the one series, a job per iteration; two numbers
+    return to the driver, and the rest of the row is a lazy aggregate. With ``by``,
+    all keys are fitted together, see ``fit_keys_distributed``. ``last_x`` is a whole
+    number if ``x`` is, and else a double.
     """
+    whole = isinstance(series.schema[x].dataType, T.IntegralType)
     rows = series.select(
-        F.col(x).cast("double").alias("x"),
-        F.col(y).cast("double").alias("y"),
-        (F.col(origin) if origin else F.lit(None).cast("date")).alias("date"),
-    ).dropna(subset=["x", "y"])
-    points = rows.groupBy("x").agg(
-        F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"), F.min("date").alias("date")
+        *key_list(by),
+        F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"),
+        (F.col(origin) if origin else F.lit(None).cast("date")).alias("_date"),
+    ).dropna(subset=["_x", "_y"])
+    last_x = F.max("_x").cast("bigint" if whole else "double").alias("last_x")
+    first_date = [F.min("_date").alias("min_date")] if origin else []
+    if by is not None and key_list(by):
+        return fit_keys_distributed(rows, key_list(by), last_x, first_date)
+    points = rows.groupBy("_x").agg(
+        F.avg("_y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"), F.min("_date").alias("_date")
     )
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
+    features = VectorAssembler(inputCols=["_x"], outputCol="features").transform(points)
     regression = GeneralizedLinearRegression(
         family="poisson", link="log", maxIter=MAX_STEPS, tol=1e-10, weightCol="weight"
     )
@@ -221,10 +232,137 @@ def fit_poisson_distributed(
         F.lit(float(model.intercept)).alias("intercept"),
         F.lit(float(model.coefficients[0])).alias("slope"),
         F.sum("weight").cast("bigint").alias("n_points"),
-        F.max("x").cast("bigint").alias("last_x"),
-        F.max_by("label", "x").alias("last_y"),
-        *([F.min("date").alias("min_date")] if origin else []),
+        last_x,
+        F.max_by("label", "_x").alias("last_y"),
+        *first_date,
+    )
+
+
+def fit_keys_distributed(
+    rows: DataFrame, keys: Sequence[str], last_x: Column, first_date: Sequence[Column]
+) -> DataFrame:
+    """Newton scoring for all keys at once, as rounds of grouped sums.
+
+    A round joins the points of unfinished keys with their trial coefficients and adds
+    up the likelihood and its derivatives, all that a step needs: six numbers per key.
+    A step is halved where the likelihood would fall, and a key leaves once its step is
+    negligible. Keys converge apart from each other, so later rounds read fewer points
+    and keys. Sums start before the shuffle, and the points of a key are joined in
+    ``SALTS`` parts, so a hot key is not one task's. Points and each round's
+    coefficients are written to the shared folder, which cuts the lineage; only the
+    number of unfinished keys comes to the driver.
+    """
+    negative = F.raise_error("Poisson regression needs values >= 0").cast("double")
+    value = F.when(F.col("_y") >= 0, F.col("_y")).otherwise(negative)
+    points = rows.groupBy(*keys, "_x").agg(
+        F.sum(value).alias("_total"), F.count(F.lit(1)).cast("double").alias("_weight"), F.min("_date").alias("_date")
+    )
+    points = written(points.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS))), "points")
+
+    # centre and scale the predictor, as newton_fit does; a flat series needs no rounds
+    mean = F.col("_total") / F.col("_weight")
+    state = points.groupBy(*keys).agg(
+        F.sum("_weight").cast("bigint").alias("n_points"),
+        last_x,
+        F.max_by(mean, "_x").alias("last_y"),
+        *first_date,
+        F.expr("sum(_weight * _x) / sum(_weight)").alias("_centre"),
+        F.expr("ln(nullif(sum(_total), 0D) / sum(_weight))").alias("_level"),
+        F.min("_x").alias("_low"),
+        F.max("_x").alias("_high"),
+        (F.min(mean) == F.max(mean)).alias("_level_only"),
+    )
+    state = state.withColumn("_scale", F.expr("greatest(_high - _centre, _centre - _low)"))
+    state = state.withColumn("_done", F.expr("_level_only OR _scale = 0")).drop("_low", "_high", "_level_only")
+    # coefficients, the step being tried and its size, and the likelihood to beat
+    start = {
+        "_b0": F.expr("CASE WHEN _done THEN _level ELSE 0D END"),
+        "_b1": F.expr("CASE WHEN NOT _done OR _level IS NOT NULL THEN 0D END"),
+        **{"_d0": F.lit(0.0), "_d1": F.lit(0.0), "_size": F.lit(1.0), "_best": F.lit(float("-inf"))},
+    }
+    state = written(state.withColumns(start), "state")
+    for attempt in range(MAX_ROUNDS):
+        active = state.where("NOT _done")
+        if not active.count():
+            break
+        moved = _guess(points, active, keys) if attempt == 0 else _newton_round(points, active, keys)
+        state = written(state.where("_done").unionByName(moved), "state")
+    slope = F.expr("CASE WHEN _scale = 0 THEN _b1 ELSE _b1 / _scale END")
+    kept = ["n_points", "last_x", "last_y", *(["min_date"] if first_date else [])]
+    return state.withColumn("slope", slope).select(
+        *keys, F.expr("_b0 - slope * _centre").alias("intercept"), "slope", *kept
+    )
+
+
+def _at_points(points: DataFrame, active: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The points of active keys with ``_z``, the scaled predictor, and ``columns`` of the key."""
+    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("_salt")
+    salted = active.select(*keys, "_centre", "_scale", *columns, salts)
+    rows = points.alias("points").join(salted.alias("active"), same_keys("points", "active", [*keys, "_salt"]))
+    return rows.select(
+        *[F.col(f"points.{key}") for key in keys],
+        *["_total", "_weight"],
+        F.expr("(_x - _centre) / _scale").alias("_z"),
+        *columns,
+    )
+
+
+# Solution of the weighted normal equations of the sums _s0, _s1, _s2 and _g0, _g1, as in ``_solve``.
+_SINGULAR = "(_s0 * _s2 - _s1 * _s1 <= 1e-12 * _s0 * _s2)"
+_STEP_0 = f"CASE WHEN {_SINGULAR} THEN coalesce(try_divide(_g0, _s0), 0D) ELSE (_s2 * _g0 - _s1 * _g1) / (_s0 * _s2 - _s1 * _s1) END"
+_STEP_1 = f"CASE WHEN {_SINGULAR} THEN 0D ELSE (_s0 * _g1 - _s1 * _g0) / (_s0 * _s2 - _s1 * _s1) END"
+
+
+def _summed(rows: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.expr(f"sum({e})").alias(name) for name, e in sums.items()])
+
+
+def _with_sums(active: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    joined = active.alias("key").join(sums.alias("sums"), same_keys("key", "sums", keys))
+    rest = [c for c in sums.columns if c not in keys]
+    return joined.select(*[F.col(f"key.{c}") for c in active.columns], *rest)
+
+
+def _guess(points: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First step, from zero: least squares on the log values, weighted by the values."""
+    rows = _at_points(points, active, keys, [])
+    rows = rows.withColumn("_w", F.expr("_total + 0.1D * _weight")).withColumn("_log", F.expr("ln(_w / _weight)"))
+    sums = _summed(rows, keys, _s0="_w", _s1="_w * _z", _s2="_w * _z * _z", _g0="_w * _log", _g1="_w * _log * _z")
+    return _with_sums(active, sums, keys).withColumns({"_d0": F.expr(_STEP_0), "_d1": F.expr(_STEP_1)}).select(active.columns)
+
+
+def _newton_round(points: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Try every key's step: take it and find the next one, or halve it."""
+    tried = active.withColumns({"_t0": F.expr("_b0 + _size * _d0"), "_t1": F.expr("_b1 + _size * _d1")})
+    rows = _at_points(points, tried, keys, ["_t0", "_t1"])
+    rows = rows.withColumn("_eta", F.expr("_t0 + _t1 * _z")).withColumn("_mu", F.expr("_weight * exp(_eta)"))
+    sums = _summed(
+        rows,
+        keys,
+        _like="_total * _eta - _mu",
+        _s0="_mu",
+        _s1="_mu * _z",
+        _s2="_mu * _z * _z",
+        _g0="_total - _mu",
+        _g1="(_total - _mu) * _z",
     )
+    out = _with_sums(tried, sums, keys)
+    better = "NOT isnan(_like) AND _like > double('-infinity') AND _like >= _best - 1e-9 * coalesce(nullif(abs(_best), double('infinity')), 0D)"
+    out = out.withColumn("_better", F.expr(better))
+    out = out.withColumns({"_n0": F.expr(f"CASE WHEN _better THEN {_STEP_0} END"), "_n1": F.expr(f"CASE WHEN _better THEN {_STEP_1} END")})
+    # convergence is quadratic: once the next step is negligible it is taken unseen
+    out = out.withColumn("_last", F.expr(f"_better AND greatest(abs(_n0), abs(_n1)) < {STEP_TOLERANCE}"))
+    lost = f"NOT _better AND _size < pow(2, -{MAX_HALVINGS})"
+    moved = {
+        "_b0": F.expr("CASE WHEN _last THEN _t0 + _n0 WHEN _better THEN _t0 ELSE _b0 END"),
+        "_b1": F.expr("CASE WHEN _last THEN _t1 + _n1 WHEN _better THEN _t1 ELSE _b1 END"),
+        "_d0": F.coalesce("_n0", "_d0"),
+        "_d1": F.coalesce("_n1", "_d1"),
+        "_size": F.expr("CASE WHEN _better THEN 1D ELSE _size / 2 END"),
+        "_best": F.expr("CASE WHEN _better THEN _like ELSE _best END"),
+        "_done": F.expr(f"_last OR ({lost})"),
+    }
+    return out.withColumns(moved).select(active.columns)
 
 
 def predict_vectors(csum: np.ndarray, days_elapsed: np.ndarray, target_csum: float) -> dict:
