@@ -83,6 +83,33 @@ def test_parse_day(spark, text, day):
     assert tuples(df) == [(day,)]
 
 
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("2023/03/08", "2023-03-08"),
+        ("March 8, 2023 10:00 AM", "2023-03-08"),
+        ("Wed, 08 Mar 2023 10:00:00 +0200", "2023-03-08"),
+        ("Wed, 08 Mar 2023 00:30:00 +0200", "2023-03-07"),
+        ("Wed Mar 08 2023 00:00:00 GMT+0100 (CET)", "2023-03-07"),
+        ("12/31/2023 11:30 PM -0500", "2024-01-01"),
+        ("1/1/2024 12:30 a.m.", "2024-01-01"),
+        ("1/1/2024 12:30 PM UTC+13:00", "2023-12-31"),
+        ("2/29/2024 23:59:59.999 Z", "2024-02-29"),
+        ("2023-03-08T23:30:00-05:00", "2023-03-09"),
+        ("2/29/2023", None),
+        ("13/1/2024", None),
+        ("8 Mar 2023 24:00", None),
+        ("8 Mar 2023 13:00 PM", None),
+        ("8 Mar 2023 10:60", None),
+        ("1|2|3|4|5|6|7|8|9|10|11", None),
+        ("8 Mar 2023 (a|b)", "2023-03-08"),
+    ],
+)
+def test_parse_day_with_times_and_zones(spark, text, day):
+    df = spark.createDataFrame([(text,)], "t string").select(parse_day("t"))
+    assert str(df.first()[0]) == str(day)
+
+
 def test_bad_and_null_dates_are_set_aside_and_counted(spark):
     raw = spark.createDataFrame([("a", "2023-01-01"), ("b", "junk"), ("c", None)], "slug string, created_at string")
     assert tuples(tm.date_quality(raw)) == [(3, 1, 1)]
