@@ -112,6 +112,39 @@ def densify_by_key_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.densify(tm.daily_counts(_events(spark, sf_dir), "ts", by), by, bounds="global")
 
 
+def densify_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tm.daily_counts(_events(spark, sf_dir), "ts", "user_id", grain="hour")
+    return tm.densify(counts, "user_id", grain="hour")
+
+
+def densify_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer by month, with the months between them."""
+    counts = tm.daily_counts(_orders(spark, sf_dir), "o_orderdate", "o_custkey", grain="month")
+    return tm.densify(counts, "o_custkey", grain="month")
+
+
+def series_stats_weekly_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's weeks, over the weeks of all."""
+    return tm.series_stats(_orders(spark, sf_dir), "o_orderdate", "o_custkey", "global", grain="week")
+
+
+def series_stats_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.series_stats(_orders(spark, sf_dir), "o_orderdate", grain="quarter")
+
+
+def combined_series_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual and predicted months of the orders, until twice their number."""
+    counts = tm.daily_counts(_orders(spark, sf_dir), "o_orderdate", grain="month")
+    stats, model = tm.stats_from_counts(counts, grain="month"), tm.fit_counts(counts, grain="month")
+    return _rounded(tm.combined_series(stats, model, _twice_total(), grain="month"), tagCount=2)
+
+
+def crossing_month_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tm.daily_counts(_orders(spark, sf_dir), "o_orderdate", "o_orderstatus", grain="month")
+    model = tm.fit_counts(counts, "o_orderstatus", grain="month")
+    return tm.crossing_date(model, _twice_total(), "o_orderstatus", grain="month")
+
+
 def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_stats(spark, sf_dir)
 
@@ -215,6 +248,13 @@ def poisson_fit_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.select("user_id", "intercept", "slope", "n_points"), intercept=6, slope=6)
 
 
+def poisson_fit_distributed_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fits of ``poisson_fit_by_key`` for keys that no task could hold."""
+    model = tm.fit_poisson_distributed(_event_stats(spark, sf_dir, "event_type"), by="event_type")
+    model = model.select("event_type", "intercept", "slope", "n_points")
+    return _rounded(model, intercept=6, slope=6)
+
+
 def _order_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.fit_counts(daily_counts(spark, sf_dir))
 
@@ -402,6 +442,12 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     densify_daily,
     densify_by_key,
     densify_by_key_global,
+    densify_hourly,
+    densify_monthly,
+    series_stats_weekly_global,
+    series_stats_quarterly,
+    combined_series_monthly,
+    crossing_month_by_key,
     series_stats,
     series_stats_by_key,
     series_stats_by_key_global,
@@ -420,6 +466,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     poisson_fit_distributed,
     crossing_date_distributed,
     poisson_fit_by_key,
+    poisson_fit_distributed_by_key,
     poisson_fit_by_user,
     forecast_until,
     forecast_by_key,
@@ -465,19 +512,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- oracles (DuckDB) -----------------------------------------------------------
 
 
-def _stats_sql(source: str, time_col: str, key: str | None = None, whole_range: bool = False) -> str:
+def _stats_sql(source: str, time_col: str, key: str | None = None, whole_range: bool = False, grain: str = "day") -> str:
     """CTEs ending in ``s(key, date, n, csum, x)``: spine, left join, window."""
     k, group = (f"{key} AS k", "GROUP BY 1, 2") if key else ("0 AS k", "GROUP BY 1, 2")
+    kind = "TIMESTAMP" if grain == "hour" else "DATE"
+    step = "3 months" if grain == "quarter" else f"1 {grain}"
     bounds = "SELECT k, min(d) AS lo, max(d) AS hi FROM c GROUP BY k"
     if whole_range:
         bounds = "SELECT k, (SELECT min(d) FROM c) AS lo, (SELECT max(d) FROM c) AS hi FROM c GROUP BY k"
     return f"""
-    c AS (SELECT {k}, CAST({time_col} AS DATE) AS d, count(*) AS n FROM {source} {group}),
+    c AS (SELECT {k}, CAST(date_trunc('{grain}', {time_col}) AS {kind}) AS d, count(*) AS n FROM {source} {group}),
     b AS ({bounds}),
-    spine AS (SELECT k, lo, CAST(unnest(generate_series(lo, hi, INTERVAL '1 day')) AS DATE) AS d FROM b),
+    spine AS (SELECT k, lo, CAST(unnest(generate_series(lo, hi, INTERVAL '{step}')) AS {kind}) AS d FROM b),
     s AS (SELECT spine.k, spine.d AS date, coalesce(c.n, 0) AS n,
                  CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY spine.k ORDER BY spine.d) AS BIGINT) AS csum,
-                 datediff('day', spine.lo, spine.d) AS x
+                 datediff('{grain}', spine.lo, spine.d) AS x
           FROM spine LEFT JOIN c ON c.k = spine.k AND c.d = spine.d)"""
 
 
@@ -507,6 +556,8 @@ def _fit_sql(stats: str, goal: str = "2 * max(y)") -> str:
 
 
 ORDER_STATS = _stats_sql("orders", "o_orderdate")
+MONTH_STATS = _stats_sql("orders", "o_orderdate", grain="month")
+STATUS_MONTHS = _stats_sql("orders", "o_orderdate", "o_orderstatus", grain="month")
 USER_STATS = _stats_sql("events", "ts", "user_id")
 TYPE_STATS = _stats_sql("events", "ts", "event_type")
 FIXED_GOAL = """CASE k WHEN 'click' THEN 1 WHEN 'error' THEN 50000 ELSE 2 * max(y) END"""
@@ -556,6 +607,24 @@ SQL = {
         SELECT keys.user_id, keys.event_type, spine.d AS date, coalesce(n, 0) AS daily_count
         FROM keys CROSS JOIN spine
         LEFT JOIN c ON c.user_id = keys.user_id AND c.event_type = keys.event_type AND c.d = spine.d""",
+    "densify_hourly": f"""
+        WITH {_stats_sql("events", "ts", "user_id", grain="hour")}
+        SELECT k AS user_id, date, n AS daily_count FROM s""",
+    "densify_monthly": f"""
+        WITH {_stats_sql("orders", "o_orderdate", "o_custkey", grain="month")}
+        SELECT k AS o_custkey, date, n AS daily_count FROM s""",
+    "series_stats_weekly_global": f"""
+        WITH {_stats_sql("orders", "o_orderdate", "o_custkey", whole_range=True, grain="week")}
+        SELECT k AS o_custkey, {STATS_COLUMNS} FROM s""",
+    "series_stats_quarterly": f"""
+        WITH {_stats_sql("orders", "o_orderdate", grain="quarter")} SELECT {STATS_COLUMNS} FROM s""",
+    "combined_series_monthly": f"""{_fit_sql(MONTH_STATS)}
+        SELECT {ACTUAL_ROWS} UNION ALL
+        SELECT CAST(lo + to_months(CAST(x AS INTEGER)) AS DATE), {PREDICTION}, 'Predicted' FROM f""",
+    "crossing_month_by_key": f"""{_fit_sql(STATUS_MONTHS)}
+        SELECT k AS o_orderstatus, CASE WHEN last_x = first_x THEN 'already_past' ELSE 'reached' END AS status,
+               last_x AS last_day, CAST(lo + to_months(CAST(last_x AS INTEGER)) AS DATE) AS crossing_date,
+               strftime(lo + to_months(CAST(last_x AS INTEGER)), '%a %b %d %Y') AS crossing_text FROM h""",
     "series_stats": f"WITH {ORDER_STATS} SELECT {STATS_COLUMNS} FROM s",
     "series_stats_by_key": f"WITH {USER_STATS} SELECT k AS user_id, {STATS_COLUMNS} FROM s",
     "series_stats_by_key_global": f"""
@@ -603,6 +672,8 @@ SQL = {
         SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM h""",
     "poisson_fit_by_key": f"""{_fit_sql(TYPE_STATS)}
         SELECT k AS event_type, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
+    "poisson_fit_distributed_by_key": f"""{_fit_sql(TYPE_STATS)}
+        SELECT k AS event_type, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
     "poisson_fit_by_user": f"""{_fit_sql(USER_STATS)}
         SELECT k AS user_id, round(b0, 6) AS intercept, round(b1, 6) AS slope, n_points FROM h""",
     "forecast_until": f"""{_fit_sql(ORDER_STATS)}

@@ -206,3 +206,74 @@ def test_key_names_do_not_clash_with_internal_columns(spark, name):
     for model in models:
         assert {row[name] for row in tm.crossing_date(model, 1e4, name).collect()} == keys
     assert tm.running_total_rows(df, F.lit(1), "at", name).columns == [name, "at", "running_total"]
+
+
+def period_start(day, grain):
+    if grain == "week":
+        return day - dt.timedelta(day.weekday())
+    month = {"month": day.month, "quarter": (day.month - 1) // 3 * 3 + 1, "year": 1}.get(grain)
+    return day if month is None else D(day.year, month, 1)
+
+
+def next_period(day, grain):
+    if grain in ("day", "week"):
+        return day + dt.timedelta(7 if grain == "week" else 1)
+    months = {"month": 1, "quarter": 3, "year": 12}[grain]
+    index = day.year * 12 + day.month - 1 + months
+    return D(index // 12, index % 12 + 1, 1)
+
+
+@pytest.mark.parametrize("bounds", ["per_key", "global"])
+@pytest.mark.parametrize("grain", ["day", "week", "month", "quarter", "year"])
+def test_stats_of_every_grain(spark, grain, bounds):
+    rnd = random.Random(grain + bounds)
+    rows = [("hot" if i % 3 == 0 else rnd.choice([None, "a"]), D(2019, 11, 5) + dt.timedelta(rnd.randrange(1200))) for i in range(60)]
+    rows.append(("a", None))
+    df = spark.createDataFrame(rows, "key string, at date")
+    starts = [(k, period_start(d, grain)) for k, d in rows if d]
+    want = []
+    for key in {k for k, _ in starts}:
+        own = [d for k, d in starts if k == key]
+        inside = own if bounds == "per_key" else [d for _, d in starts]
+        day, total, i = min(inside), 0, 0
+        while day <= max(inside):
+            total += own.count(day)
+            want.append((key, day, own.count(day), total, i))
+            day, i = next_period(day, grain), i + 1
+    assert by_text(tuples(tm.series_stats(df, "at", "key", bounds, grain=grain))) == by_text(want)
+    dense = tm.densify(tm.daily_counts(df, "at", "key", grain), "key", bounds=bounds, grain=grain)
+    assert by_text(tuples(dense)) == by_text([row[:3] for row in want])
+
+
+def test_hours_cross_days_and_gaps_are_checked(spark):
+    rows = [("a", "2023-03-25 22:59:59"), ("a", "2023-03-26 02:00:00"), ("a", "2023-03-26 02:30:00")]
+    df = spark.createDataFrame(rows, "key string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    stats = tm.series_stats(df, "at", grain="hour").orderBy("date").collect()
+    assert [str(r.date) for r in stats] == [f"2023-03-2{d} {h}:00:00" for d, h in [("5", "22"), ("5", "23"), ("6", "00"), ("6", "01"), ("6", "02")]]
+    assert [(r.filled_daily_count, r.running_cumulative_sum, r.days_elapsed) for r in stats] == [(1, 1, 0), (0, 1, 1), (0, 1, 2), (0, 1, 3), (2, 3, 4)]
+    with pytest.raises(Exception, match="gap of 3 hours exceeds max_gap_days=2"):
+        tm.series_stats(df, "at", grain="hour", max_gap_days=2).collect()
+    with pytest.raises(ValueError, match="grain"):
+        tm.daily_counts(df, "at", grain="decade")
+    model = tm.fit_counts(tm.daily_counts(df, "at", grain="hour"), grain="hour")
+    crossing = tm.crossing_date(model, 10, grain="hour").first()
+    assert crossing.status == "reached" and str(crossing.crossing_date).startswith("2023-03-26")
+
+
+@pytest.mark.parametrize("grain", ["hour", "day", "week", "month", "quarter", "year"])
+def test_grain_steps_distance_and_spine_agree(spark, grain):
+    from tidemark.functions.grains import GRAINS
+
+    g = GRAINS[grain]
+    df = spark.createDataFrame([(i * 41,) for i in range(60)], "n int").select(
+        g.start(F.expr("timestamp_ntz'2019-12-30 23:10:00' + make_dt_interval(n, n % 24)")).alias("a")
+    )
+    rows = df.select("a", *[g.add("a", n).alias(f"b{n}") for n in (0, 1, 5, -3)])
+    check = rows.select(
+        *[(g.between("a", f"b{n}") == n).alias(f"d{n}") for n in (0, 1, 5, -3)],
+        (F.size(g.series("a", "b5")) == 6).alias("size"),
+        (F.element_at(g.series("a", "b5"), 2) == F.col("b1")).alias("second"),
+        (g.start("b5") == F.col("b5")).alias("start"),
+        g.series("b1", "a").isNull().alias("crossed"),
+    )
+    assert all(all(row) for row in check.collect())

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list
 from tidemark.functions.dates import day_of
+from tidemark.functions.grains import Grain, grain_of
 
 
-def daily_counts(df: DataFrame, time_col: str, by: str | Sequence[str] | None = None) -> DataFrame:
-    """Rows per key and day: ``(by..., date, daily_count)``.
+def daily_counts(
+    df: DataFrame, time_col: str, by: str | Sequence[str] | None = None, grain: str | Grain = "day"
+) -> DataFrame:
+    """Rows per key and day, or another calendar period: ``(by..., date, daily_count)``.
 
-    Time stamps are cut to the day. Rows without one form a null group. The
+    Time stamps are cut to the start of their period, the ``date``. Whatever the
+    ``grain``, the columns keep the names of the daily series, so that all that reads
+    a series reads this one. Rows without one form a null group. The
     shuffle key is (key, day) and counting starts before the shuffle, so a hot
     key arrives as at most one row per map task and day.
     """
-    return df.groupBy(*key_list(by), day_of(time_col).alias("date")).agg(
+    return df.groupBy(*key_list(by), grain_of(grain).start(time_col).alias("date")).agg(
         F.count(F.lit(1)).alias("daily_count")
     )
 

@@ -7,16 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list, same_keys
-from tidemark.functions.dates import date_series
+from tidemark.functions.grains import Grain, grain_of
 from tidemark.functions.missing import zero_if_null
 from tidemark.operators.counts import date_bounds
 
 ZERO_COUNT: Mapping[str, object] = {"daily_count": 0}
 
 
-def date_spine(bounds: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
-    """Every day from ``first_day`` to ``last_day`` of each bounds row."""
-    days = date_series("first_day", "last_day")
+def date_spine(
+    bounds: DataFrame, by: str | Sequence[str] | None = None, grain: str | Grain = "day"
+) -> DataFrame:
+    """Every period from ``first_day`` to ``last_day`` of each bounds row."""
+    days = grain_of(grain).series("first_day", "last_day")
     return bounds.select(*key_list(by), F.explode(days).alias("date"))
 
 
@@ -54,35 +56,38 @@ def expand_gaps(
     bounds: DataFrame | None,
     carry: Mapping[str, Column],
     max_gap_days: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
-    """Repeat each dated row over the days up to the next row of its key.
+    """Repeat each dated row over the periods up to the next row of its key.
 
     Adds ``_day`` and the window columns of ``carry`` (evaluated on the sparse
     rows, in date order) to the input columns. With ``bounds`` (one row) a key
     also covers the days before its first and after its last row, and keeps
     ``_first_day``. One shuffle of the sparse rows and no join of the dense ones.
     """
+    period = grain_of(grain)
     rows = rows.where(F.col("date").isNotNull())
+    before_next = period.add("_next", -1)
     in_key = Window.partitionBy(*keys).orderBy("date")
     windows = {"_next": F.lead("date").over(in_key), **carry}
     if bounds is None:
         rows = rows.withColumns(windows)
         starts = F.col("date")
-        ends = F.expr("coalesce(date_sub(_next, 1), date)")
+        ends = F.coalesce(before_next, "date")
     else:
         # bounds is a single aggregate row, so this broadcast cannot grow
         ends_of_all = F.broadcast(bounds.toDF("_first_day", "_last_day"))
         windows["_previous"] = F.lag("date").over(in_key)
         rows = rows.withColumns(windows).crossJoin(ends_of_all)
         starts = F.expr("CASE WHEN _previous IS NULL THEN least(_first_day, date) ELSE date END")
-        ends = F.expr("coalesce(date_sub(_next, 1), _last_day)")
-    # rows that share a day keep their own day each; the last one fills the gap
+        ends = F.coalesce(before_next, "_last_day")
+    # rows that share a period keep their own each; the last one fills the gap
     ends = F.greatest(ends, F.col("date"))
     if max_gap_days is not None:
-        gap = F.datediff(ends, starts)
-        message = F.format_string(f"gap of %d days exceeds max_gap_days={max_gap_days}", gap)
-        ends = F.when(gap > max_gap_days, F.raise_error(message).cast("date")).otherwise(ends)
-    return rows.withColumn("_day", F.explode(date_series(starts, ends)))
+        gap = period.between(starts, ends)
+        message = F.format_string(f"gap of %d {period.name}s exceeds max_gap_days={max_gap_days}", gap)
+        ends = F.when(gap > max_gap_days, F.raise_error(message).cast(rows.schema["date"].dataType)).otherwise(ends)
+    return rows.withColumn("_day", F.explode(period.series(starts, ends)))
 
 
 def global_bounds(
@@ -100,19 +105,21 @@ def densify(
     fill: Mapping[str, object] = ZERO_COUNT,
     bounds: str = "per_key",
     max_gap_days: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
-    """Add the missing days of each key with default values.
+    """Add the missing days, or periods of another ``grain``, of each key with default values.
 
     ``bounds`` is ``per_key`` (each key from its own first to its own last day)
     or ``global`` (every key over the days of all). Without keys both mean the
     same. ``counts`` has few rows per key and day; aggregate events with
     ``daily_counts`` first, so that a key never exceeds one row per day.
-    ``max_gap_days`` makes a longer gap fail the job instead of exploding.
+    ``max_gap_days`` makes a longer gap, in periods, fail the job instead of exploding.
+    Dates are starts of periods, as ``daily_counts`` of that grain gives them.
     """
     keys = key_list(by)
     dated = counts.select(*keys, "date", *fill).where(F.col("date").isNotNull())
     row = global_bounds(dated, bounds, keys, list(fill))
-    rows = expand_gaps(dated, keys, row, {}, max_gap_days)
+    rows = expand_gaps(dated, keys, row, {}, max_gap_days, grain)
     return rows.select(
         *keys,
         F.col("_day").alias("date"),

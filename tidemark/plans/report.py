@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list
-from tidemark.functions.dates import add_days
+from tidemark.functions.grains import Grain, grain_of
 from tidemark.operators.forecast import forecast_until
 
 # The names of the two chart series.
@@ -30,16 +30,17 @@ def predicted_series(
     target: Column | float,
     by: str | Sequence[str] | None = None,
     max_horizon: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
     """Forecast by calendar day, in the same columns. Needs ``min_date`` in the model.
 
     With an explicit ``max_horizon``, which may cut a series, ``status`` is kept.
     """
-    rows = forecast_until(model, target, by, max_horizon, keep=["min_date"])
+    rows = forecast_until(model, target, by, max_horizon, keep=["min_date"], grain=grain)
     status = [] if max_horizon is None else ["status"]
     return rows.select(
         *key_list(by),
-        add_days("min_date", "days_elapsed").alias("day"),
+        grain_of(grain).add("min_date", "days_elapsed").alias("day"),
         "tagCount",
         F.lit(PREDICTED).alias("valueType"),
         *status,
@@ -52,10 +53,11 @@ def combined_series(
     target: Column | float,
     by: str | Sequence[str] | None = None,
     max_horizon: int | None = None,
+    grain: str | Grain = "day",
 ) -> DataFrame:
     """Actual rows followed by predicted rows (sort at the sink).
 
     ``status`` is as in ``predicted_series``, null for actual rows.
     """
-    predicted = predicted_series(model, target, by, max_horizon)
+    predicted = predicted_series(model, target, by, max_horizon, grain)
     return actual_series(stats, by).unionByName(predicted, allowMissingColumns=True)
