@@ -40,6 +40,7 @@ from tidemark.sources.events import (
     read_table,
     unnest_documents,
 )
+from tidemark.sources.large_json import read_large_documents
 from tidemark.sources.sinks import ordered_series, tabular_view, write_series
 
 __all__ = [
@@ -82,6 +83,7 @@ __all__ = [
     "predicted_series",
     "read_documents",
     "read_events",
+    "read_large_documents",
     "read_table",
     "record_map",
     "register_table",
