@@ -357,6 +357,49 @@ def record_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("o_orderkey", F.explode("record").alias("name", "value"))
 
 
+def vectors_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of all users as vectors of at most 50 days, and back."""
+    columns = ["days_elapsed", "running_cumulative_sum"]
+    stats = _event_stats(spark, sf_dir, "user_id")
+    vectors = tm.series_to_vectors(stats, columns, "days_elapsed", "user_id", max_length=50, one_row_per_order=True)
+    return tm.vectors_to_rows(vectors, columns, ["user_id", "part"]).drop("part")
+
+
+def apply_series_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of each user's days over the day before as one array; 0 / 0 and x / 0 are missing."""
+
+    def growth(days, counts):
+        ratio = [float("nan")] + [b / a if a else float("nan") for a, b in zip(counts[:-1], counts[1:], strict=True)]
+        return {"days": [list(days)], "growth": [ratio]}
+
+    rows = tm.apply_series(
+        _event_stats(spark, sf_dir, "user_id"),
+        growth,
+        inputs=["days_elapsed", "filled_daily_count"],
+        schema="days array<bigint>, growth array<double>",
+        by="user_id",
+        order="days_elapsed",
+    )
+    flat = tm.vectors_to_rows(rows, ["days", "growth"], "user_id")
+    return _rounded(flat, growth=6)
+
+
+def apply_series_chunks_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of raw events by a Python generator that carries them from chunk to chunk."""
+
+    def totals(chunks):
+        total = 0
+        for ids, cents in chunks:
+            sums = cents.cumsum() + total
+            total = sums[-1]
+            yield {"event_id": ids, "running_total": sums}
+
+    cents = F.coalesce(F.round(F.col("value") * 100), F.lit(0)).cast("bigint").alias("cents")
+    rows = _events(spark, sf_dir).select("event_id", "event_type", "ts", cents)
+    schema, order = "event_id bigint, running_total bigint", ["ts", "event_id"]
+    return tm.apply_series_chunks(rows, totals, ["event_id", "cents"], schema, "event_type", order)
+
+
 def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per order: a dated tag and one whose date is no date."""
 
@@ -417,6 +460,21 @@ def first_wins_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("user_id", F.explode("record").alias("event_type", "value"))
 
 
+def first_wins_map_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``first_wins_map`` in parts of at most 64 bytes."""
+    records = tm.collapse_to_map(first_wins(spark, sf_dir), "user_id", "event_type", "value", max_bytes=64)
+    return records.select("user_id", F.explode("record").alias("event_type", "value"))
+
+
+def strict_cast_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as vectors, cast strictly, and back to rows."""
+    columns = ["o_orderkey", "is_large", "o_orderpriority"]
+    orders = _orders(spark, sf_dir).withColumn("is_large", F.col("o_totalprice") > 100000)
+    vectors = tm.series_to_vectors(orders, columns, "o_orderkey", "o_custkey")
+    kinds = {"o_orderkey": "number[]", "is_large": "boolean[]", "o_orderpriority": "string[]"}
+    return tm.vectors_to_rows(tm.strict_cast(vectors, kinds), columns, "o_custkey")
+
+
 def strict_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir).select(
         "o_orderkey", (F.col("o_totalprice") > 100000).alias("is_large"), "o_custkey", "o_orderpriority"
@@ -481,6 +539,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     chart_series,
     sql_by_name,
     vectors_roundtrip,
+    vectors_chunked,
+    apply_series_nested,
+    apply_series_chunks_by_key,
     record_map,
     ingest_nested,
     ingest_date_forms,
@@ -490,7 +551,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     json_quality,
     first_wins,
     first_wins_map,
+    first_wins_map_parts,
     strict_cast,
+    strict_cast_vectors,
     read_range,
 ]
 
@@ -720,6 +783,16 @@ SQL = {
         SELECT k AS event_type, {ACTUAL_ROWS} UNION ALL SELECT k, {PREDICTED_ROWS}""",
     "vectors_roundtrip": f"""
         WITH {USER_STATS} SELECT k AS user_id, x AS days_elapsed, csum AS running_cumulative_sum FROM s""",
+    "vectors_chunked": f"""
+        WITH {USER_STATS} SELECT k AS user_id, x AS days_elapsed, csum AS running_cumulative_sum FROM s""",
+    "apply_series_nested": f"""
+        WITH {USER_STATS}
+        SELECT k AS user_id, x AS days,
+               round(n / nullif(lag(n) OVER (PARTITION BY k ORDER BY date), 0), 6) AS growth FROM s""",
+    "apply_series_chunks_by_key": """
+        SELECT event_type, event_id,
+               CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total
+        FROM (SELECT event_id, event_type, ts, coalesce(CAST(round(value * 100) AS BIGINT), 0) AS cents FROM events)""",
     "record_map": """
         SELECT o_orderkey, 'o_orderstatus' AS name, o_orderstatus AS value FROM orders
         UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
@@ -742,6 +815,10 @@ SQL = {
         GROUP BY 1, 2, 3""",
     "first_wins": FIRST_VALUES,
     "first_wins_map": FIRST_VALUES,
+    "first_wins_map_parts": FIRST_VALUES,
+    "strict_cast_vectors": """
+        SELECT o_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice > 100000 AS is_large, o_orderpriority
+        FROM orders""",
     "strict_cast": """
         SELECT o_orderkey, CAST(o_totalprice > 100000 AS DOUBLE) AS is_large,
                CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderpriority FROM orders""",

@@ -9,7 +9,7 @@ from tidemark.functions.dates import (
     iso_date,
     long_date,
 )
-from tidemark.functions.missing import null_if_missing, zero_if_null
+from tidemark.functions.missing import mask_missing, null_if_missing, zero_if_null
 from tidemark.operators.collapse import collapse_to_map, first_wins
 from tidemark.operators.counts import daily_counts, date_bounds, min_date
 from tidemark.operators.forecast import crossing_date, forecast_until, predict_response
@@ -20,7 +20,7 @@ from tidemark.operators.profile import json_quality, key_profile
 from tidemark.operators.strict import strict_cast
 from tidemark.operators.threshold import first_reaching
 from tidemark.operators.totals import days_elapsed, running_total, running_total_rows
-from tidemark.operators.vectors import apply_series, series_to_vectors, vectors_to_rows
+from tidemark.operators.vectors import apply_series, apply_series_chunks, series_to_vectors, vectors_to_rows
 from tidemark.plans.report import actual_series, combined_series, predicted_series
 from tidemark.plans.stats import fit_counts, fit_stats, series_stats, stats_from_counts, stats_vectors
 from tidemark.sources.catalog import (
@@ -47,6 +47,7 @@ __all__ = [
     "actual_series",
     "add_days",
     "apply_series",
+    "apply_series_chunks",
     "bad_dates",
     "collapse_to_map",
     "combined_series",
@@ -75,6 +76,7 @@ __all__ = [
     "key_profile",
     "list_tables",
     "long_date",
+    "mask_missing",
     "min_date",
     "null_if_missing",
     "parse_days",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidemark.functions.columns import key_list
+from tidemark.operators.totals import running_total_rows
 
 
 def first_wins(
@@ -44,10 +45,27 @@ def _not_null(df: DataFrame, column: str) -> Column:
     return F.when(F.col(column).isNull(), missing).otherwise(F.col(column))
 
 
-def collapse_to_map(collapsed: DataFrame, entity: str | Sequence[str], key: str, value: str) -> DataFrame:
+def collapse_to_map(
+    collapsed: DataFrame, entity: str | Sequence[str], key: str, value: str, max_bytes: int | None = None
+) -> DataFrame:
     """One map per entity from the rows of ``first_wins``, keys sorted.
 
-    A map is one value of one row, so all keys of an entity must fit in a row.
+    A map is one value of one row, so without ``max_bytes`` all keys of an entity must
+    fit in a row. With it an entity has as many maps as it needs, numbered from 0 by
+    ``part`` in the order of keys, each of at most so many bytes of keys and values, as
+    text, unless one entry alone takes more than half of them. The parts come from a distributed running total of bytes, so
+    an entity of any size is no task's alone. Null keys, if allowed, come last.
     """
+    entities = key_list(entity)
+    if max_bytes is not None:
+        size = F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.coalesce(
+            F.octet_length(F.col(value).cast("string")), F.lit(0)
+        )
+        half = max(1, max_bytes // 2)
+        sized = collapsed.withColumn("_size", F.least(size, F.lit(half)).cast("bigint"))
+        placed = running_total_rows(sized, "_size", key, entities, out="_upto")
+        # an entry belongs where its last byte falls; what its first ones add is another half
+        part = F.floor((F.greatest(F.col("_upto"), F.lit(1)) - 1) / half).cast("int").alias("part")
+        collapsed, entities = placed.select(*collapsed.columns, part), [*entities, "part"]
     entries = F.sort_array(F.collect_list(F.struct(key, value)))
-    return collapsed.groupBy(*key_list(entity)).agg(F.map_from_entries(entries).alias("record"))
+    return collapsed.groupBy(*entities).agg(F.map_from_entries(entries).alias("record"))

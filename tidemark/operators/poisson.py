@@ -365,12 +365,15 @@ def _newton_round(points: DataFrame, active: DataFrame, keys: Sequence[str]) ->
     return out.withColumns(moved).select(active.columns)
 
 
-def predict_vectors(csum: np.ndarray, days_elapsed: np.ndarray, target_csum: float) -> dict:
+def predict_vectors(
+    csum: np.ndarray, days_elapsed: np.ndarray, target_csum: float, last_day: int = CALENDAR_DAYS
+) -> dict:
     """Vector function for ``apply_series``: fit, then predict day by day.
 
     Returns the days after the last one up to and including the first whose
-    prediction reaches the target, the same days as ``forecast_until``; none if the
-    fit gets there never or after the calendar.
+    prediction reaches the target; none if the fit gets there never, or after
+    ``last_day``. With the days from the first date to the calendar's last one there,
+    these are the days of ``forecast_until``.
     """
     x, y = days_elapsed.astype(float), csum.astype(float)
     b0, b1 = (float(c[0]) for c in newton_fit(x, np.ones_like(x), y, np.array([0])))
@@ -386,7 +389,7 @@ def predict_vectors(csum: np.ndarray, days_elapsed: np.ndarray, target_csum: flo
             last += 1
     else:
         last = first - 1
-    if last > CALENDAR_DAYS:
+    if last > last_day:
         last = first - 1
     days = np.arange(first, last + 1)
     predicted = np.exp(b0 + b1 * days)
