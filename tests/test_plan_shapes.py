@@ -75,6 +75,11 @@ def test_row_totals_read_the_source_twice(spark, name, reads):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("name", ["forecast_until", "forecast_by_key", "crossing_date", "combined_series_by_key"])
+def test_a_series_is_fitted_once(spark, name):
+    assert executed_plan(entry.queries()[name](spark, SF_DIR)).count("ArrowEvalPython") == 1
+
+
 def test_first_wins_hashes_one_fixed_width_order(spark):
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
     plan = executed_plan(tm.first_wins(events, "user_id", "event_type", "value", "event_id"))

@@ -111,7 +111,8 @@ def forecast_until(
     explicit ``max_horizon`` cuts a series. ``target`` may be an expression on the
     model columns.
     """
-    rows = forecast_range(model, target, max_horizon, grain).where("_last_x IS NOT NULL")
+    # a null last offset makes no rows
+    rows = forecast_range(model, target, max_horizon, grain)
     # blocks of days first, so that no array is long
     block = F.explode(F.expr(f"sequence(_first_x, _last_x, {BLOCK_DAYS}L)"))
     rows = rows.withColumn("_block", block)

@@ -139,6 +139,10 @@ def _fit_batch(points: pa.Array) -> pa.Array:
     )
 
 
+# Filters on the coefficients would else be pushed below the fit with a second fit of their own.
+_fit_once = _fit_batch.asNondeterministic()
+
+
 def fit_poisson(
     series: DataFrame,
     x: str = "days_elapsed",
@@ -188,7 +192,7 @@ def fit_poisson(
         F.expr("max_by(_total / CAST(_weight AS DOUBLE), _x)").alias("last_y"),
         F.min("_date").alias("min_date"),
     )
-    fitted = vectors.where(F.size("_points") > 0).withColumn("_fit", _fit_batch("_points"))
+    fitted = vectors.where(F.size("_points") > 0).withColumn("_fit", _fit_once("_points"))
     kept = ["n_points", "last_x", "last_y", *(["min_date"] if origin else [])]
     return fitted.select(*keys, "_fit.intercept", "_fit.slope", *kept)
 
