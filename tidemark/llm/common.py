@@ -6,6 +6,8 @@ texts at once, so a batch costs a few numpy passes and no loop over its rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import sys
 import tempfile
 import uuid
@@ -55,9 +57,15 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and the session runs in one process, as in tests, a folder of its
+    own takes its place; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -183,6 +191,15 @@ HASH_BASE = 0x5851F42D4C957F2D  # odd, hence invertible modulo 2^64
 HASH_INVERSE = pow(HASH_BASE, -1, 1 << 64)
 
 
+LONG_SPAN = 256  # bytes; a polynomial modulo 2^64 is safe well below 1,024 places, not beyond
+
+
+def digest(data: np.ndarray) -> np.uint64:
+    """64-bit hash of bytes for long spans, where other texts could meet in one polynomial
+    hash by their pattern alone, as Thue-Morse words do."""
+    return np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), np.uint64)[0]
+
+
 def prefix_hash(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Running polynomial hash; ``span_hash`` takes any span from it."""
     out = np.zeros(len(data) + 1, np.uint64)
@@ -220,6 +237,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     word = span_hash(prefix_hash(data, byte_codes()), begin, end)
+    for i in np.flatnonzero(end - begin > LONG_SPAN):
+        word[i] = digest(data[begin[i] : end[i]])
     # sums over a window of words, each word times a power: one more polynomial hash
     prefix = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * powers(HASH_BASE, len(word)), out=prefix[1:])

@@ -30,6 +30,7 @@ from tidemark.llm.common import (
     byte_codes,
     cell_counts,
     cell_of,
+    digest,
     mixed,
     prefix_hash,
     slices,
@@ -60,10 +61,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], onward[width - 1 : width - 1 + n])
 
 
-def document_keys(batch: pa.RecordBatch, prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def document_keys(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A key of each row's id and text, so that rows of one id but other texts stay apart."""
     ids = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy().view(np.uint64)
-    return mixed(span_hash(prefix, offsets[:-1], offsets[1:]) + mixed(ids * GOLDEN)).view(np.int64)
+    texts = np.array([digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
+    return mixed(texts + mixed(ids * GOLDEN)).view(np.int64)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -93,7 +95,7 @@ def _suffix_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
             prefix = prefix_hash(data, codes)
-            keys = document_keys(part, prefix, offsets)
+            keys = document_keys(part, data, offsets)
             doc, first, last, anchor = runs(data, offsets, prefix, window, gram)
             if not len(doc):
                 continue
@@ -179,10 +181,9 @@ def _texts_of(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
     """``key, text`` of the documents whose cell is wanted: all that are, and a few more."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = byte_codes()
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
-            keys = document_keys(part, prefix_hash(data, codes), offsets)
+            keys = document_keys(part, data, offsets)
             chosen = pa.RecordBatch.from_arrays([pa.array(keys), part.column("text")], ["key", "text"])
             yield chosen.filter(pa.array(wanted[cell_of(keys, CELLS)]))
 
@@ -338,18 +339,16 @@ def without_repeats(
         )
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = byte_codes()
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
-            keys = document_keys(part, prefix_hash(data, codes), offsets)
+            keys = document_keys(part, data, offsets)
             rest = part.filter(pa.array(~touched[cell_of(keys, CELLS)]))
             yield report(rest, [None] * rest.num_rows)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = byte_codes()
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
-            keys = document_keys(part, prefix_hash(data, codes), offsets)
+            keys = document_keys(part, data, offsets)
             named = pa.RecordBatch.from_arrays([pa.array(keys), *part.columns], ["key", "doc_id", "text"])
             yield named.filter(pa.array(touched[cell_of(keys, CELLS)]))
 
