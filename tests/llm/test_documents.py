@@ -104,6 +104,23 @@ def test_one_of_each_keeps_one(docs):
     assert {9, 15, 18} & found == {9} and {None, 0, 3, 6} <= found
 
 
+def test_one_row_of_each_id_stays(spark):
+    body = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, body, "b"), (1, body, "a"), (1, body, "a"), (2, body + " x", "c"), (3, None, "d"), (3, " ", "e"), (3, "own words", "f")]
+    rows += [(None, body, "g"), (None, body, "g"), (4, "z" * 3, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank string")
+    kept = Counter(tuple(r) for r in jaccard.one_of_each(df).collect())
+    assert kept == Counter([(1, body, "a"), *rows[4:]])
+
+
+def test_many_equal_rows_of_lines(spark):
+    """Equal rows are one document to line dedup, at no quadratic cost."""
+    text = "first line here\nsecond line here\nthird"
+    rows = [(1, text)] * 600 + [(2, text)] * 600
+    out = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text, r.n_deleted) for r in out.collect()) == Counter({(1, text, 0): 600, (2, "", 3): 600})
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 50), (60, 50)], "u long, v long")
     expected = Counter({(i, 0): 1 for i in range(1, 41)} | {(60, 50): 1})

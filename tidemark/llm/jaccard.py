@@ -25,15 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import (
     CELL_ROW,
+    WORD,
     added_cells,
     cell_counts,
     cell_of,
     cell_rows,
+    fresh,
     mixed,
     shingles,
     slices,
@@ -340,7 +343,23 @@ def near_components(
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, by id; rows without id or words stay."""
-    found = near_components(docs, words, share, text, doc_id)
+    """The row of ``docs`` that is the first of each component, by id; rows without id or words stay.
+
+    Of rows that share the first id, one stays, the first by text and then by the other
+    columns that have an order. Very long texts are handled whole; an empty table stays
+    empty, and other columns stay as they are.
+    """
+    found = written(near_components(docs, words, share, text, doc_id), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[f"`{doc_id}`"] == gone["gone"], "left_anti")
+    rest = docs.join(gone, docs[f"`{doc_id}`"] == gone["gone"], "left_anti")
+    several = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    several = written(several.select(F.col("doc_id").alias("several")), "several")
+    if several.isEmpty():  # as where ids are unique
+        return rest
+    same = docs[f"`{doc_id}`"] == several["several"]
+    (rank,) = fresh(docs, "rank")
+    worded = F.coalesce(docs[f"`{text}`"].rlike(WORD), F.lit(False))
+    order = [docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.StructType, T.ArrayType))]
+    first = Window.partitionBy(docs[f"`{doc_id}`"], worded).orderBy(docs[f"`{text}`"].asc_nulls_last(), *order)
+    one = rest.join(several, same, "left_semi").withColumn(rank, F.row_number().over(first)).where((F.col(rank) == 1) | ~worded).drop(rank)
+    return rest.join(several, same, "left_anti").unionByName(one)

@@ -56,7 +56,9 @@ def repeated_places(places: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     ``size`` is ``min_lines``, or 1 for long lines.
     """
-    named = written(_named(written(places, "places"), "a", "b").select("key", "at", "name", "long"), "named")
+    named = _named(written(places, "places"), "a", "b").select("key", "at", "name", "long")
+    # equal rows are one document: one place for each of its lines, or the joins below would pair them all
+    named = written(named.dropDuplicates(["key", "at"]), "named")
     later = [named.where("long AND name <> struct(key, at)").select("key", "at", F.lit(1).alias("size"))]
     level, depth = named.select("key", "at", "name"), 1
     while depth < min_lines:
