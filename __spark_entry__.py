@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import tidemark as tm  # noqa: E402
 from tidemark.plans.sql import SERIES_STATS  # noqa: E402
 from tidemark.sources.events import document_schema  # noqa: E402
+from tidemark.staging import scratch_path  # noqa: E402
 
 try:  # the training-data operators are an optional part
     from tidemark.llm import queries as llm  # noqa: E402
@@ -422,6 +423,14 @@ def ingest_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.parse_days(tm.unnest_documents(docs))
 
 
+def ingest_large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags as large documents, one per task of the scan, read again by byte ranges."""
+    tags = _order_documents(spark, sf_dir).select(F.inline("tags"))
+    path = scratch_path(spark, "documents")
+    tm.write_large_documents(tags, path)
+    return tm.parse_days(tm.read_large_documents(spark, path, range_bytes=1 << 20))
+
+
 def ingest_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates written in the forms a date text may have, and read again."""
     day = F.col("o_orderdate")
@@ -544,6 +553,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     apply_series_chunks_by_key,
     record_map,
     ingest_nested,
+    ingest_large_documents,
     ingest_date_forms,
     date_quality,
     bad_dates,
@@ -800,6 +810,9 @@ SQL = {
     "ingest_nested": """
         SELECT CAST(o_orderkey AS VARCHAR) AS slug, CAST(o_orderdate AS DATE) AS created_at FROM orders
         UNION ALL SELECT o_orderkey || '-status', NULL FROM orders""",
+    "ingest_large_documents": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS slug, CAST(o_orderdate AS DATE) AS created_at FROM orders
+        UNION ALL SELECT o_orderkey || '-status', NULL FROM orders""",
     "date_quality": """
         SELECT 2 * count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, count(*) AS n_bad FROM orders""",
     "bad_dates": "SELECT o_orderkey || '-status' AS slug, o_orderstatus AS created_at FROM orders",

@@ -52,6 +52,9 @@ def main() -> None:
         if wanted and name not in wanted:
             continue
         begin = time.time()
+        if name not in oracles:  # no SQL can express it; its own tests compare it with a plain version
+            print(f"rows {name} {query(spark, sf_dir).count()} in {time.time() - begin:.2f}s", flush=True)
+            continue
         try:
             found = differences(spark, con, query, oracles[name], sf_dir)
         except Exception as error:  # report and go on with the next query

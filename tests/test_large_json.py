@@ -8,7 +8,7 @@ import pytest
 from conftest import tuples
 
 import tidemark as tm
-from tidemark.sources.large_json import State, chained, read_large_documents, structure
+from tidemark.sources.large_json import State, chained, read_large_documents, structure, write_large_documents
 
 TRICKY = ['plain', 'quote " in', "back\\slash", "end\\", '\\"', "{[", "]}", '"tags": [', "é日本🎉", "", "\\\\\\", "a\nb", "null,"]
 
@@ -65,6 +65,17 @@ def test_equals_the_reader_of_documents(spark, tmp_path):
     assert Counter(tuples(ranges)) == Counter(tuples(whole))
 
 
+def test_written_documents_are_read_by_both_readers(spark, tmp_path):
+    rows = [(t + str(i), "2023-03-08", [i, None]) for i, t in enumerate(TRICKY * 20)]
+    df = spark.createDataFrame(rows, "slug string, created_at string, `more` array<int>").repartition(3)
+    path = str(tmp_path / "out")
+    write_large_documents(df.union(df.where("false")), path, "items")
+    want = Counter((r[0], r[1]) for r in rows)
+    assert Counter(tuples(read_large_documents(spark, path, "items", range_bytes=500))) == want
+    documents = tm.read_documents(spark, path, "items")
+    assert Counter(tuples(tm.unnest_documents(documents, "items"))) == want
+
+
 def test_large_document_is_many_tasks(spark, tmp_path):
     path = tmp_path / "large.json"
     n = 200_000

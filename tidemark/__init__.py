@@ -40,7 +40,7 @@ from tidemark.sources.events import (
     read_table,
     unnest_documents,
 )
-from tidemark.sources.large_json import read_large_documents
+from tidemark.sources.large_json import read_large_documents, write_large_documents
 from tidemark.sources.sinks import ordered_series, tabular_view, write_series
 
 __all__ = [
@@ -103,6 +103,7 @@ __all__ = [
     "unnest_documents",
     "vectors_to_rows",
     "ordered_series",
+    "write_large_documents",
     "write_series",
     "zero_if_null",
     "zip_vectors",

@@ -17,7 +17,8 @@ def json_quality(df: DataFrame, column: str, by: str | Sequence[str] | None = No
 
     ``n_bad`` counts texts that are no JSON, or too large to be read; ``n_other``
     those that are JSON but no object. What follows a complete value is not looked
-    at: a text is judged by its first value.
+    at: a text is judged by its first value. Turns on the session's
+    ``variant.allowDuplicateKeys``, as ``key_profile`` does.
     """
     df.sparkSession.conf.set(LAST_WINS, "true")
     parsed = F.try_parse_json(column)

@@ -241,6 +241,28 @@ class JsonRangesReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["element"])
 
 
+def write_large_documents(rows: DataFrame, path: str, array_field: str = "tags") -> None:
+    """Write rows as JSON documents with one array of objects, a document per partition.
+
+    A task streams its rows, one line each, into one file, so documents may be of any
+    size. A partition without rows is a document with an empty array.
+    """
+    lines = rows.select(F.to_json(F.struct(*[rows[f"`{c}`"] for c in rows.columns])).alias("value"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], ["value"])
+        yield line(json.dumps({array_field: []})[:-2])
+        first = True
+        for batch in batches:
+            texts = [f",{text}" for text in batch.column(0).to_pylist()]
+            if first and texts:
+                texts[0], first = texts[0][1:], False
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+        yield line("]}")
+
+    lines.mapInArrow(whole, "value string").write.text(path)
+
+
 def read_large_documents(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -256,6 +278,7 @@ def read_large_documents(
     a document without the field has no rows, and malformed JSON fails the job. Files
     are UTF-8 and in a store that Arrow can open (local or mounted, HDFS, S3, GCS).
     """
+    # Spark lists the files; their content is not among the columns read
     listing = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
     files = [tuple(r) for r in listing.select("path", "length").collect()]  # a few documents
     ranges = [
