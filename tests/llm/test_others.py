@@ -95,6 +95,31 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.examples(df.where("false"))).count() == 0
 
 
+def test_long_waits_for_a_reply_are_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "FLUSH_CHARS", 100)
+    rows = [(1, i, "assistant" if i in (9, 17) else "user", f"turn {i} <|im_end|>") for i in range(20)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    increments = chat.examples(df)
+    held = increments.where("conv_id = 1").collect()
+    assert max(r.turns for r in held) < 6 and sum(r.is_target for r in held) == 2
+    full = {r.example: r for r in chat.full_examples(increments).collect()}
+    assert [t[:2] for t in chat.parse(full[1].text)] == [r[2:] for r in rows[:18]]
+    assert chat.unescape(full[1].text[full[1].loss_begin : full[1].loss_end]) == rows[17][3]
+    out = {r.conv_id: r for r in chat.read_back(increments).collect()}
+    assert (out[1].n_turns, out[1].n_examples, out[2].n_examples) == (20, 2, 0)
+    assert out[1].loss_sha256 == hashlib.sha256((rows[9][3] + rows[17][3]).encode()).hexdigest()
+
+
+def test_a_changed_context_is_noticed(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(6)]
+    increments = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    other = F.when(F.col("example") == 0, F.replace("formatted", F.lit("turn 0"), F.lit("turn 9"))).otherwise(F.col("formatted"))
+    with pytest.raises(Exception, match="context of an example"):
+        chat.read_back(increments.withColumn("formatted", other)).collect()
+    with pytest.raises(Exception, match="context of an example"):
+        chat.read_back(increments.where("example <> 1")).collect()
+
+
 def test_urls(spark):
     rows = [
         "https://WWW.Example.COM/en/1",

@@ -135,7 +135,8 @@ CHAT_SQL = rf"""
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-           CAST(sum(12 + length(role) + 1 + {ESCAPED_LENGTH.format("text")} + 11) AS BIGINT) AS formatted_chars
+           CAST(sum(12 + length(role) + 1 + {ESCAPED_LENGTH.format("text")} + 11) AS BIGINT) AS formatted_chars,
+           count(CASE WHEN role = 'assistant' THEN 1 END) AS n_examples
     FROM t GROUP BY 1"""
 LINES_SQL = rf"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
