@@ -317,7 +317,7 @@ def keyed_points(spark, seed):
             rows += [(key, x, float(rng.poisson(np.exp(1 + slope * x)))) for _ in range(2)]
     rows += [("hot", int(x), float(y)) for x, y in zip(rng.integers(0, 3000, 4000), rng.poisson(50, 4000), strict=True)]
     rows += [("flat", x, 7.0) for x in range(5)] + [("zero", x, 0.0) for x in range(5)]
-    rows += [("one", 3, 11.0), ("mixed", 1, 0.0), ("mixed", 2, 5.0), ("lost", None, 1.0), ("rise", 4, None)]
+    rows += [("one", 3, 11.0), ("mixed", 1, 0.0), ("mixed", 2, 5.0), ("mixed", 4, 0.0), ("lost", None, 1.0), ("rise", 4, None)]
     return spark.createDataFrame(rows, "key string, x bigint, y double")
 
 
