@@ -54,7 +54,7 @@ def collapse_to_map(
     fit in a row. With it an entity has as many maps as it needs, numbered from 0 by
     ``part`` in the order of keys, each of at most so many bytes of keys and values, as
     text, unless one entry alone takes more than half of them. The parts come from a distributed running total of bytes, so
-    an entity of any size is no task's alone. Null keys, if allowed, come last.
+    an entity of any size is no task's alone. A map has no null key: one fails the job.
     """
     entities = key_list(entity)
     if max_bytes is not None:
