@@ -7,18 +7,17 @@ texts at once, so a batch costs a few numpy passes and no loop over its rows.
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import staging
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,31 +55,12 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()], F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset and the session runs in one process, as in tests, a folder of its
-    own takes its place; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: a cut in the lineage that
-    outlives executors. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as Parquet in the folder that all executors share, read again: a cut in the
+    lineage that outlives executors."""
+    out = staging.written(df, name)
+    df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
+    return out
 
 
 # --- Arrow batches ----------------------------------------------------------------
