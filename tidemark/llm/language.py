@@ -28,7 +28,8 @@ BUCKETS = 1 << 13  # n-grams are hashed into so many features
 NGRAMS = (1, 2, 3)
 SAMPLE = 512  # rows of each language the classifier is fitted on, at most
 UNKNOWN = "und"
-SLICE = 1 << 20
+SLICE = 1 << 20  # characters counted at once
+ROWS = 64  # texts counted at once
 
 
 @dataclass(frozen=True)
@@ -41,12 +42,37 @@ class Model:
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, feature and count of all n-grams of the lower-cased texts."""
+    """Text number, feature and count of all n-grams of the lower-cased texts.
+
+    Counted ``ROWS`` texts at a time, so that the table of counts has a fixed size, and
+    a long text part by part.
+    """
     lowered = [text.lower() for text in texts]
-    lengths = np.array([len(text) for text in lowered])
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    counts = np.zeros(len(texts) * BUCKETS, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    begin = size = 0
+    for i, text in enumerate(lowered):
+        size += len(text)
+        if i + 1 < len(lowered) and i + 1 - begin < ROWS and size + len(lowered[i + 1]) <= SLICE:
+            continue
+        counts = np.zeros((i + 1 - begin) * BUCKETS, np.int64)
+        if size <= SLICE:
+            add_grams(counts, "".join(lowered[begin : i + 1]), [len(t) for t in lowered[begin : i + 1]], size)
+        else:
+            for at in range(0, size, SLICE):  # one long text; a part also sees what its last n-grams reach into
+                part = text[at : at + SLICE + max(NGRAMS) - 1]
+                add_grams(counts, part, [len(part)], SLICE)
+        cells = np.flatnonzero(counts)
+        found.append((cells + begin * BUCKETS, counts[cells]))
+        begin, size = i + 1, 0
+    cells = np.concatenate([c for c, _ in found]) if found else np.zeros(0, np.int64)
+    counts = np.concatenate([n for _, n in found]) if found else np.zeros(0, np.int64)
+    return cells // BUCKETS, cells % BUCKETS, counts
+
+
+def add_grams(counts: np.ndarray, text: str, lengths: list[int], starts: int) -> None:
+    """Add to ``counts`` the n-grams of texts laid end to end that start before ``starts``."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     rolled = np.zeros(len(points), np.uint32)
     for n in range(1, max(NGRAMS) + 1):
         size = len(points) - n + 1
@@ -55,11 +81,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolled = (rolled[:size] + points[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
         if n in NGRAMS:
             within = doc[:size] == doc[n - 1 :]
+            within[starts:] = False
             bucket = rolled[within] ^ (rolled[within] >> np.uint32(15))
             bucket = (bucket * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
             counts += np.bincount(doc[:size][within] * BUCKETS + bucket, minlength=len(counts))
-    found = np.flatnonzero(counts)
-    return found // BUCKETS, found % BUCKETS, counts[found]
 
 
 def weighted(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
