@@ -14,7 +14,7 @@ import heapq
 import json
 import sys
 import types
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,8 @@ PATTERN = (
 UNSAFE = r" (?=\p{White_Space}|$)"
 LONG_WORD = 200
 NO_MERGE = (1 << 60, 0)
-REMEMBERED = 1_000_000  # words a worker keeps the tokens of; then it starts afresh
+REMEMBERED = 64 << 20  # bytes, about, of the words and pairs a worker remembers; then it starts afresh
+ENTRY = 250  # bytes of one remembered word besides its letters and tokens
 CHUNK = 1 << 20  # characters encoded at once
 
 
@@ -77,6 +78,7 @@ class Vocabulary:
         self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}  # by the first two bytes
         self.good: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # bytes remembered, about
         self.pattern, self.unsafe = regex.compile(PATTERN), regex.compile(UNSAFE)
         self.pieces: dict[str, tuple[int, ...]] = {}  # by text after a space
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -149,19 +151,21 @@ class Vocabulary:
         bad[:-1][within] = ~verdict[where]
         failing = np.add.reduceat(bad, last - lengths + 1) if len(flat) else np.zeros(0)
         for word, proposal, fails in zip(words, proposals, failing, strict=True):
-            self.words[word] = tuple(self.exact(word.encode()) if fails else proposal)
+            self.words[word] = tokens = tuple(self.exact(word.encode()) if fails else proposal)
+            self.held += ENTRY + 4 * len(word) + 8 * len(tokens)
 
     def compatible(self, pair: int) -> bool:
         known = self.good.get(pair)
         if known is None:
             a, b = pair >> 32, pair & 0xFFFFFFFF
             known = self.good[pair] = self.exact(self.token[a] + self.token[b]) == [a, b]
+            self.held += ENTRY // 2
         return known
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the strings of special tokens are those tokens."""
-        if len(self.words) + len(self.pieces) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+        if self.held > REMEMBERED:
+            self.words, self.pieces, self.good, self.held = {}, {}, {}, 0
         rows: list[list] = []
         words: set[str] = set()
         fresh: dict[str, list[str]] = {}  # pieces not met before
@@ -187,7 +191,8 @@ class Vocabulary:
             self.learn(new)
         tokens = self.words
         for piece, found in fresh.items():
-            known[piece] = tuple(i for w in found for i in tokens[w])
+            known[piece] = made = tuple(i for w in found for i in tokens[w])
+            self.held += ENTRY + 4 * len(piece) + 8 * len(made)
         out = []
         for row in rows:
             ids: list[int] = []
@@ -216,7 +221,7 @@ def vocabulary_text(path: str) -> str:
 def kept_vocabulary(path: str, text: str) -> Vocabulary:
     """The vocabulary a worker process has built, with the words it has met."""
     held = sys.modules.setdefault("tidemark_vocabularies", types.ModuleType("tidemark_vocabularies")).__dict__
-    key = f"{path}:{len(text)}"
+    key = f"{path}:{hashlib.sha256(text.encode()).hexdigest()}"
     if key not in held:
         held[key] = Vocabulary(text)
     return held[key]
@@ -233,28 +238,35 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = T
     fields += ", ids array<int>, decoded string" if keep_ids else ""
     fields += ", ids_sha256 string, decoded_sha256 string" if digests else ""
 
-    @F.pandas_udf(fields)
-    def tokens(texts: pd.Series) -> pd.DataFrame:
-        vocabulary = kept_vocabulary(path, shared.value)
-        values = [t or "" for t in texts]
+    def coded(vocabulary: Vocabulary, texts: list[str]) -> pd.DataFrame:
         out: dict[str, list] = {name.split()[0]: [] for name in fields.split(", ")}
-        begin = size = 0
-        for i, value in enumerate(values):
-            size += len(value)
-            if size < CHUNK and i < len(values) - 1:
-                continue
-            for ids in vocabulary.encode(values[begin : i + 1]):
-                out["n_tokens"].append(len(ids))
-                decoded = vocabulary.decode(ids)
-                if keep_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
-                if digests:
-                    out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            begin, size = i + 1, 0
+        for ids in vocabulary.encode(texts):
+            out["n_tokens"].append(len(ids))
+            decoded = vocabulary.decode(ids)
+            if keep_ids:
+                out["ids"].append(np.array(ids, np.int32))
+                out["decoded"].append(decoded)
+            if digests:
+                out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         return pd.DataFrame(out)
 
+    # what is done goes back to Spark chunk by chunk, so that a worker never holds the ids of a batch
+    @F.pandas_udf(fields)
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = kept_vocabulary(path, shared.value)
+        for texts in batches:
+            held: list[str] = []
+            size = 0
+            for text in texts:
+                held.append(text or "")
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield coded(vocabulary, held)
+                    held, size = [], 0
+            if held:
+                yield coded(vocabulary, held)
+
     keep = [docs[f"`{c}`"] for c in docs.columns if c.lower() != "token"]
     return docs.select(*keep, tokens(docs[f"`{text}`"]).alias("token"))
 
