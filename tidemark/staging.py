@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_held: dict[str, list[str]] = {}  # by application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -31,9 +35,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop.getParent())
     files.deleteOnExit(hadoop.getParent())
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def held(spark: SparkSession) -> list[str]:
+    """The places made in this application and not yet released."""
+    return list(_held.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete what was written at ``paths``; nothing may read it any more."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _held[spark.sparkContext.applicationId].remove(path)
+
+
+def reads_only(df: DataFrame) -> list[str] | None:
+    """The files of a frame that is a table as it was read; None for any other plan."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df.inputFiles() if plan.children().isEmpty() else None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again: a lost executor loses none of it."""
     path = scratch_path(df.sparkSession, name)
