@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import staging
 
@@ -32,3 +33,20 @@ def test_written_tables_are_read_again(spark):
     out = staging.written(df, "numbers")
     assert out.columns == ["a b"] and out.count() == 10
     assert "FileScan" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_released_tables_are_gone(spark):
+    one, two = staging.written(spark.range(3), "one"), staging.written(spark.range(4), "two")
+    paths = staging.held(spark)[-2:]
+    assert all(any(path.rpartition("/")[2] in file for file in df.inputFiles()) for path, df in zip(paths, (one, two), strict=True))
+    staging.release(spark, paths[:1])
+    assert paths[0] not in staging.held(spark) and two.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+        one.collect()
+
+
+def test_only_a_table_as_it_was_read_tells_its_files(spark):
+    table = staging.written(spark.range(3), "table")
+    assert staging.reads_only(table) == table.inputFiles()
+    assert staging.reads_only(table.where("id > 1")) is None
+    assert staging.reads_only(table.join(table.withColumnRenamed("id", "b"), F.col("id") == F.col("b"))) is None
