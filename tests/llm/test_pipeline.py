@@ -10,6 +10,7 @@ from llm_fixtures import sf_dir  # noqa: F401
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tidemark import staging
 from tidemark.llm import language, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,3 +118,16 @@ def test_tokens_stage(stages):
 def test_run_is_the_stages_in_order(spark, sf_dir, stages):
     out = corpus_pipeline.run(spark, sf_dir)
     assert rows(out, "doc_id", "n_tokens", "round_trip") == rows(stages["tokens"][1], "doc_id", "n_tokens", "round_trip")
+
+
+def test_a_stage_releases_what_earlier_stages_wrote(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    STAGES["lines"](spark, docs, sf_dir).write.parquet(str(tmp_path / "lines"))
+    made = corpus_pipeline._made[spark.sparkContext.applicationId][:]
+    assert made and set(made) <= set(staging.held(spark))
+    lazy = STAGES["lines"](spark, docs, sf_dir)  # not written: the next stage must keep its tables
+    assert not set(made) & set(staging.held(spark))
+    mixed = STAGES["mix"](spark, lazy, sf_dir)
+    assert mixed.count() > 0
+    STAGES["language"](spark, spark.read.parquet(str(tmp_path / "lines")), sf_dir)
+    assert corpus_pipeline._made[spark.sparkContext.applicationId] == []
