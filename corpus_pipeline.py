@@ -6,10 +6,14 @@ the columns of ``docs``. ``run`` writes each result to the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import staging
 from tidemark.llm import bpe, jaccard, language, lines, mixing
 from tidemark.llm.common import written
 
@@ -46,12 +50,36 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return coded.select("doc_id", "lang", "source", "token.n_tokens", "token.ids", same.alias("round_trip"))
 
 
+_made: dict[str, list[str]] = {}  # by application: what the stages so far have written on their way
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, which first deletes what earlier stages wrote on their way, provided that
+    ``docs`` is a table as it was read: the result of the stage before has then been
+    written, and nothing reads that any more."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        made = _made.setdefault(spark.sparkContext.applicationId, [])
+        files = staging.reads_only(docs)
+        if files is not None:
+            done = [path for path in made if not any(path.rpartition("/")[2] in file for file in files)]
+            staging.release(spark, done)
+            made[:] = [path for path in made if path not in done]
+        before = set(staging.held(spark))
+        out = stage(spark, docs, sf_dir)
+        made += [path for path in staging.held(spark) if path not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language", identify_language),
-    ("lines", drop_repeated_lines),
-    ("near_copies", keep_one_of_near_copies),
-    ("mix", mix_sources),
-    ("tokens", encode_tokens),
+    ("language", staged(identify_language)),
+    ("lines", staged(drop_repeated_lines)),
+    ("near_copies", staged(keep_one_of_near_copies)),
+    ("mix", staged(mix_sources)),
+    ("tokens", staged(encode_tokens)),
 ]
 
 # The language model and the tokenizer cannot be expressed in SQL.
