@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from llm_fixtures import docs, no_docs, sf_dir, texts  # noqa: F401
 
 import corpus_pipeline
-from tidemark.llm import chat, topk, urls
+from tidemark.llm import chat, queries, topk, urls
 from tidemark.llm.queries import RULES
 
 
@@ -120,6 +120,43 @@ def test_a_changed_context_is_noticed(spark):
         chat.read_back(increments.where("example <> 1")).collect()
 
 
+def test_examples_are_read_with_their_prefix(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 70)
+    monkeypatch.setattr(chat, "HELD_BYTES", 90)
+    rows = [(1, i, "assistant" if i % 3 == 1 else "user", f"turn\r\n {i} <|im_end|> é🎉" * (1 + i % 2)) for i in range(9)]
+    rows += [(2, 0, "assistant", ""), (3, 0, "user", "no reply"), (None, 0, "user", "x"), (None, 1, "assistant", "y\r")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    full = chat.full_examples(chat.examples(df))
+    held = {}
+    for r in full.collect():
+        assert 0 < len(r.text) <= 70
+        spans, text = held.get((r.conv_id, r.example), ((r.is_target, r.loss_begin, r.loss_end), ""))
+        held[r.conv_id, r.example] = spans, text + r.text
+    for conv in (1, 2, 3, None):
+        mine = [(r, t) for c, _, r, t in rows if c == conv]
+        ends = [i + 1 for i, (r, _) in enumerate(mine) if r == "assistant"]
+        tail = ends[-1:] != [len(mine)]
+        for example, end in enumerate(ends + [len(mine)] * tail):
+            (target, first, last), text = held.pop((conv, example))
+            assert target == (example < len(ends))
+            assert [t[:2] for t in chat.parse(text)] == mine[:end]
+            assert chat.unescape(text[first:last]) == (mine[end - 1][1] if target else "")
+    assert not held
+    assert {(r.conv_id, r.n_turns, r.n_examples) for r in chat.read_examples(full).collect()} == {(1, 9, 3), (2, 1, 1), (3, 1, 0), (None, 2, 1)}
+    for wrong in (
+        full.withColumn("text", F.when(F.col("example") == 2, F.replace("text", F.lit("n\r\n 0"), F.lit("n\r\n 9"))).otherwise(F.col("text"))),
+        full.where("example <> 1"),
+        full.where("part <> 1"),
+    ):
+        with pytest.raises(Exception, match="begin with the example|is missing|cut off"):
+            chat.read_examples(wrong).collect()
+
+
+def test_chat_query_reads_expanded_examples(spark, sf_dir):
+    plan = queries.op7_chat(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # format, spell out, read
+
+
 def test_urls(spark):
     rows = [
         "https://WWW.Example.COM/en/1",

@@ -3,12 +3,13 @@
 Every turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. A conversation gives one
 example per assistant turn: all turns before it are context, and of the reply the
 text alone is trainable. An example's context is the example before it and what
-follows that, so it is kept by reference: the row of an example holds the turns since
-the last one, where these begin in the conversation, and the digest of all text before
-them, its context; spans count from the begin of the conversation. So the output grows
-with the turns, not with their square, and a conversation of any length passes through
-a task turn by turn. ``full_examples`` spells the examples out; ``read_back`` resolves
-every reference and fails if a context is not what its example was written with.
+follows that, so ``examples`` keeps it by reference: the row of an example holds the
+turns since the last one, where these begin in the conversation, and the digest of all
+text before them, its context; spans count from the begin of the conversation. That is
+what is shuffled: it grows with the turns, not with their square. ``full_examples``
+expands it: it resolves every reference, fails if a context is not what its example was
+written with, and spells each example out, prefix and target. ``read_examples`` reads
+those. A conversation of any length passes through a task part by part.
 
 Control strings in texts are escaped reversibly: ``<``, any number of backslashes
 and ``|`` get one backslash more, so neither ``<|im_start|>`` nor ``<|im_end|>``
@@ -18,13 +19,15 @@ can arise from a text.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,6 +36,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
 ESCAPED = re.compile(r"<\\(\\*)\|")
 FLUSH_CHARS = 4 << 20
+PART_CHARS = 4 << 20  # of an example in one row
+HELD_BYTES = 16 << 20  # of a conversation held in memory while its examples are spelt out
 EXAMPLE = (
     "conv_id long, example int, turns int, is_target boolean, begin long, context_sha256 string, "
     "formatted string, loss_begin long, loss_end long"
@@ -125,6 +130,9 @@ NOTHING = object()
 EXAMPLE_NAMES = [part.split()[0] for part in EXAMPLE.split(", ")]
 KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 EXAMPLE_TYPES = [KINDS[part.split()[1]] for part in EXAMPLE.split(", ")]
+FULL = "conv_id long, example int, part int, is_target boolean, text string, loss_begin long, loss_end long"
+FULL_NAMES = [part.split()[0] for part in FULL.split(", ")]
+FULL_TYPES = [KINDS[part.split()[1]] for part in FULL.split(", ")]
 DIGEST = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
     "n_examples long"
@@ -139,14 +147,67 @@ def as_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
 
 
 def full_examples(increments: DataFrame) -> DataFrame:
-    """Each example spelt out: ``conv_id, example, text, loss_begin, loss_end``.
-
-    An example holds its conversation up to the reply, so it must fit in a row.
+    """Prefix-target expansion: each example spelt out, from the first turn of its
+    conversation to its reply: ``conv_id, example, part, is_target, text, loss_begin,
+    loss_end``.
+
+    One row per example; only one of more than ``PART_CHARS`` characters is several,
+    ``part`` from 0. The loss span counts from the begin of the example. Turns after the
+    last reply are in one more row, of the whole conversation, with nothing trainable
+    (``is_target`` false). Rows of a conversation follow one another in order. Every
+    context is resolved, and the job fails if it is not the text the example was
+    written with. The text grows with the square of the turns, but a task holds one part
+    of an example, and what came before it in a file once that is long.
     """
-    order = Window.partitionBy("conv_id").orderBy("begin")
-    text = F.concat_ws("", F.collect_list("formatted").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = increments.select("*", text.alias("text")).where("is_target")
-    return rows.select("conv_id", "example", "text", "loss_begin", "loss_end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size, now, at, prefix, context, open_end = 0, NOTHING, 0, None, None, None
+
+        def parts(example: int, target: bool, first: int, last: int) -> Iterator[tuple]:
+            prefix.seek(0)
+            part = 0
+            while text := prefix.read(PART_CHARS):
+                yield now, example, part, target, text, first, last
+                part += 1
+            prefix.seek(0, os.SEEK_END)
+
+        def flushed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal out, size
+            for row in rows:
+                out.append(row)
+                size += len(row[4])
+                if size > FLUSH_CHARS:
+                    yield as_batch(out, FULL_NAMES, FULL_TYPES)
+                    out, size = [], 0
+
+        for batch in batches:
+            for conv, example, target, begin, before, formatted, first, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if conv != now:
+                    if open_end is not None:
+                        yield from flushed(parts(open_end, False, at, at))
+                    if prefix:
+                        prefix.close()
+                    prefix = tempfile.SpooledTemporaryFile(HELD_BYTES, "w+", encoding="utf-8", newline="")
+                    now, at, context, open_end = conv, 0, hashlib.sha256(), None
+                if begin != at or before != context.hexdigest():
+                    raise ValueError(f"conversation {conv}: the context of an example is not the text before it")
+                prefix.write(formatted)
+                context.update(formatted.encode())
+                at += len(formatted)
+                open_end = None if target else example
+                if target:
+                    yield from flushed(parts(example, True, first, last))
+        if open_end is not None:
+            yield from flushed(parts(open_end, False, at, at))
+        if prefix:
+            prefix.close()
+        if out:
+            yield as_batch(out, FULL_NAMES, FULL_TYPES)
+
+    ordered = increments.repartition("conv_id").sortWithinPartitions("conv_id", "begin")
+    columns = ["conv_id", "example", "is_target", "begin", "context_sha256", "formatted", "loss_begin", "loss_end"]
+    return ordered.select(*columns).mapInArrow(run, FULL)
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -162,41 +223,92 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def read_back(increments: DataFrame) -> DataFrame:
+    """``read_examples`` of the examples spelt out."""
+    return read_examples(full_examples(increments))
+
+
+def read_examples(full: DataFrame) -> DataFrame:
     """Digests of what the examples hold, one row per conversation, read from the
     formatted texts alone: ``conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars, n_examples``. Texts under the loss mask are unescaped.
-    Each example's context is resolved to the text before it, and the job fails if that
-    is not the text the example was written with."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = NOTHING, None
-
-        def digests() -> tuple:
-            return now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
+    Takes the rows as ``full_examples`` gives them. Every example is read whole; the
+    job fails if one does not begin with the example before it, or if rows are
+    missing or out of order. Only turns that the example before did not have are taken
+    apart.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: Reading | None = None
         for batch in batches:
             out = []
-            for conv, target, begin, context, formatted, first, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if conv != now:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if state is None or row[0] != state.conv:
                     if state:
-                        out.append(digests())
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, hashlib.sha256()]
-                if begin != state[4] or context != state[6].hexdigest():
-                    raise ValueError(f"conversation {conv}: the context of an example is not the text before it")
-                for role, text, _, _ in parse(formatted):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                trained = unescape(formatted[first - begin : last - begin])
-                state[2] += len(trained)
-                state[3].update(trained.encode())
-                state[4] += len(formatted)
-                state[5] += target
-                state[6].update(formatted.encode())
+                        out.append(state.digests())
+                    state = Reading(row[0])
+                state.take(*row[1:])
             if out:
                 yield as_batch(out, DIGEST_NAMES, DIGEST_TYPES)
         if state:
-            yield as_batch([digests()], DIGEST_NAMES, DIGEST_TYPES)
-
-    ordered = increments.repartition("conv_id").sortWithinPartitions("conv_id", "begin")
-    columns = ["conv_id", "is_target", "begin", "context_sha256", "formatted", "loss_begin", "loss_end"]
-    return ordered.select(*columns).mapInArrow(run, DIGEST)
+            yield as_batch([state.digests()], DIGEST_NAMES, DIGEST_TYPES)
+
+    return full.select(*FULL_NAMES).mapInArrow(run, DIGEST)
+
+
+class Reading:
+    """What has been read of one conversation's examples."""
+
+    def __init__(self, conv: int | None):
+        self.conv = conv
+        self.n_turns = self.loss_chars = self.n_examples = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.example, self.next_part, self.target = -1, 0, True
+        self.at, self.whole, self.rest, self.trained = 0, 0, "", []
+        self.text, self.before = hashlib.sha256(), hashlib.sha256().hexdigest()
+
+    def fail(self, what: str) -> None:
+        raise ValueError(f"conversation {self.conv}, example {self.example}: {what}")
+
+    def take(self, example: int, part: int, target: bool, text: str, first: int, last: int) -> None:
+        """One part of an example."""
+        if part == 0:
+            self.close()
+            if example != self.example + 1 or not self.target:
+                self.fail("the next one is missing")
+            self.before, self.text = self.text.hexdigest(), hashlib.sha256()
+            self.whole, self.at = self.at, 0
+            self.example, self.next_part, self.target = example, 0, target
+        if (example, part) != (self.example, self.next_part):
+            self.fail("a part is missing")
+        self.next_part += 1
+        known = min(len(text), max(0, self.whole - self.at))
+        self.text.update(text[:known].encode())
+        if known and self.at + known == self.whole and self.text.hexdigest() != self.before:
+            self.fail("it does not begin with the example before it")
+        self.text.update(text[known:].encode())
+        self.rest += text[known:]
+        stop = self.rest.rfind(END) + len(END)
+        if stop >= len(END):
+            for role, said, _, _ in parse(self.rest[:stop]):
+                self.n_turns += 1
+                self.turns.update(f"{role}\n{said}\n".encode())
+            self.rest = self.rest[stop:]
+        self.trained.append(text[max(0, first - self.at) : max(0, last - self.at)])
+        self.at += len(text)
+
+    def close(self) -> None:
+        """The end of an example."""
+        if self.at < self.whole or self.rest:
+            self.fail("its text is cut off")
+        if self.example >= 0:
+            trained = unescape("".join(self.trained))
+            self.loss_chars += len(trained)
+            self.loss.update(trained.encode())
+            self.n_examples += self.target
+        self.trained = []
+
+    def digests(self) -> tuple:
+        self.close()
+        turns, loss = self.turns.hexdigest(), self.loss.hexdigest()
+        return self.conv, self.n_turns, turns, self.loss_chars, loss, self.at, self.n_examples

@@ -67,7 +67,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
     own = spark.createDataFrame(added, "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.examples(chats.unionByName(own)))
+    return chat.read_examples(chat.full_examples(chat.examples(chats.unionByName(own))))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
