@@ -1,9 +1,11 @@
 """Operators on documents against brute force, and their awkward cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from llm_fixtures import docs, no_docs, sf_dir, texts  # noqa: F401
@@ -148,6 +150,43 @@ def test_word_merging_agrees_with_its_long_form():
         assert vocabulary.exact(word) == vocabulary.exact_long(word)
 
 
+def test_words_merged_together_agree_with_single_ones():
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_text(VOCABULARY))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeinrst hotEé日\n0", k=rng.choice([1, 2, 3, 5, 9, 16, 40, 70]))).encode() for _ in range(3000)]
+    assert [m.tolist() for m in vocabulary.exact_all(words)] == [vocabulary.exact(w) for w in words]
+
+    def greedy(word):
+        out = []
+        while word:
+            size = next(n for n in range(len(word), 0, -1) if word[:n] in vocabulary.proposed)
+            out.append(vocabulary.proposed[word[:size]])
+            word = word[size:]
+        return out
+
+    flat, lengths = vocabulary.propose([b"", *words, b""])
+    assert [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])] == [[], *map(greedy, words), []]
+    assert vocabulary.exact_all([]) == []
+
+
+def test_words_met_in_any_order_give_the_tokens_of_the_library(monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_text(VOCABULARY))
+    special = next(iter(vocabulary.special), "")
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "\r\n ", "\u00a0", "\u3000", "\u0085", "don't", "ñandú", "日本語", "the", "anthaion", "12", "?!", "🎉", special, "x" * 300, "thst" * 30]
+    texts = ["".join(rng.choices(parts, weights=[20, *[1] * (len(parts) - 1)], k=rng.randrange(40))) for _ in range(600)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (bpe.REMEMBERED, 1):  # with all words kept, and with none
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        for size in (600, 7):
+            got = [ids for i in range(0, 600, size) for ids in vocabulary.encode(texts[i : i + size])]
+            assert got == want
+    ids, ends = vocabulary.encode_flat(texts)
+    assert vocabulary.decode_flat(ids, ends) == texts
+    assert vocabulary.decode([vocabulary.single[0xE6], vocabulary.single[0x41]]) == "\ufffdA"
+
+
 # --- language, lines, mix, fingerprints ------------------------------------------------
 
 
