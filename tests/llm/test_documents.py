@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 from llm_fixtures import docs, no_docs, sf_dir, texts  # noqa: F401
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, fingerprints, jaccard, language, lines, mixing, repeats
@@ -187,6 +189,23 @@ def test_words_met_in_any_order_give_the_tokens_of_the_library(monkeypatch):
     assert vocabulary.decode([vocabulary.single[0xE6], vocabulary.single[0x41]]) == "\ufffdA"
 
 
+def test_a_worker_remembers_words_in_few_bytes():
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_text(VOCABULARY))
+    rng, most = random.Random(7), 0
+    for _ in range(12):
+        vocabulary.encode_flat([" ".join("".join(rng.choices("aeinrsth", k=8)) for _ in range(1000)) for _ in range(20)])
+        met = [vocabulary.words, vocabulary.pieces]
+        size = sum(map(sys.getsizeof, met)) + sum(sys.getsizeof(k) + 32 for d in met for k in d)
+        most = max(most, size + vocabulary.flat.nbytes + vocabulary.begin.nbytes + vocabulary.size.nbytes)
+    assert most < 40 << 20
+
+
+def test_tokens_take_arrow_texts_not_pandas(docs):
+    plan = bpe.encode(docs, VOCABULARY)._jdf.queryExecution().optimizedPlan()
+    arrow_iterator = PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    assert f"], {arrow_iterator}" in plan.toString()
+
+
 # --- language, lines, mix, fingerprints ------------------------------------------------
 
 
