@@ -1,9 +1,11 @@
 """Operators on documents against brute force, and their awkward cases."""
 
+import gc
 import hashlib
 import random
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, fingerprints, jaccard, language, lines, mixing, repeats
+from tidemark import staging
+from tidemark.llm import bpe, common, fingerprints, jaccard, language, lines, mixing, repeats
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,6 +120,76 @@ def test_one_row_of_each_id_stays(spark):
     assert kept == Counter([(1, body, "a"), *rows[4:]])
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Plans as for large tables, whose exchanges can be read."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def rows_shuffled(df):
+    """The rows that ``df`` shuffles, and its result."""
+    rows = df.collect()
+
+    def walk(node):
+        children = node.children()
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan()), rows
+
+
+def test_only_texts_that_may_go_are_shuffled(spark, no_broadcast):
+    """One of two near copies goes; the other 300 documents stay where they are."""
+    body = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(300)] + [(400, body), (401, body + " x"), (None, body)]
+    moved, kept = rows_shuffled(jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(tuple(r) for r in kept) == Counter([*rows[:301], rows[302]])
+    assert moved < 10
+
+
+def test_rows_without_ids_that_go(spark, no_broadcast):
+    rows = [(str(i), i) for i in range(2000)] * 2 + [(None, -1)] * 2
+    df = spark.createDataFrame(rows, "`doc id` string, n long")
+    gone = spark.createDataFrame([(i,) for i in range(0, 2000, 7)] + [(5000,)], "gone long")
+    moved, kept = rows_shuffled(jaccard._without(df, "doc id", gone))
+    assert Counter(tuple(r) for r in kept) == Counter(r for r in rows if r[1] % 7 or r[1] < 0)
+    assert moved < 1200
+    _, kept = rows_shuffled(jaccard._without(df, "doc id", gone.where("gone < 0")))
+    assert Counter(tuple(r) for r in kept) == Counter(rows)
+
+
+def test_near_components_keeps_no_table_it_is_done_with(spark, docs):
+    before = set(staging.held(spark))
+    out = jaccard.near_components(docs)
+    left = {path.rpartition("/")[2].partition("-")[0] for path in staging.held(spark) if path not in before}
+    assert not left & {"described", "prefixes", "lists", "across"} and out.count() == docs.count()
+
+
+def test_written_lets_go_of_shuffles_that_nothing_reads(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    gc.collect()
+    gc.disable()  # Python's collector runs by itself when it happens to
+    try:
+        before = shuffles()
+        spark.range(1000).repartition(7).select("id").collect()
+        made = shuffles() - before
+        for _ in range(10):  # Spark deletes them soon after
+            common.written(spark.range(1), "one")
+            time.sleep(0.2)
+        assert made and not made & shuffles()
+    finally:
+        gc.enable()
+
+
 def test_many_equal_rows_of_lines(spark):
     """Equal rows are one document to line dedup, at no quadratic cost."""
     text = "first line here\nsecond line here\nthird"

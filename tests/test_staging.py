@@ -45,6 +45,15 @@ def test_released_tables_are_gone(spark):
         one.collect()
 
 
+def test_discarded_tables_are_gone(spark):
+    one, two = staging.written(spark.range(3), "one"), staging.written(spark.range(4), "two")
+    paths = staging.held(spark)[-2:]
+    staging.discard(one)
+    assert paths[0] not in staging.held(spark) and paths[1] in staging.held(spark) and two.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+        one.collect()
+
+
 def test_only_a_table_as_it_was_read_tells_its_files(spark):
     table = staging.written(spark.range(3), "table")
     assert staging.reads_only(table) == table.inputFiles()

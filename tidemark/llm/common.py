@@ -6,6 +6,7 @@ texts at once, so a batch costs a few numpy passes and no loop over its rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import sys
 from collections.abc import Iterator
@@ -59,6 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the folder that all executors share, read again: a cut in the
     lineage that outlives executors."""
     out = staging.written(df, name)
+    gc.collect()  # Java objects are held in reference cycles of Python, and their shuffles with them
     df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
     return out
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import staging
 from tidemark.llm.common import (
     CELL_ROW,
     WORD,
@@ -292,8 +293,9 @@ def near_components(
     """
     rows = _documents(docs, text, doc_id)
     described = written(_described(rows, words), "described")
-    sets = described.where("chunk IS NULL").select("doc_id", "n", "a", "b")
     counts = added_cells(described.where("chunk IS NOT NULL").select("chunk", "counts"), CELLS)
+    sets = written(described.where("chunk IS NULL").select("doc_id", "n", "a", "b"), "sets")
+    staging.discard(described)
     linkable = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(linkable.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
     same_id = linkable.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("doc_id")
@@ -334,6 +336,7 @@ def near_components(
     rest = across.where("v IS NOT NULL").unionByName(_pairs_across(combined, share, False))
     found = _verified(rest.select("u", "v"), rows, words, share)
     known = components(edges.unionByName(found))
+    staging.discard(prefixes, lists, across)  # what is returned reads sets, classes and components
 
     final = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
@@ -342,6 +345,20 @@ def near_components(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone``. Only rows that share a cell with one
+    of those ids are shuffled; all others stay where they are."""
+    held = cell_counts(gone, CELLS) > 0
+
+    @F.arrow_udf("boolean")
+    def shares_cell(ids: pa.Array) -> pa.Array:
+        return pa.array(held[cell_of(ids.to_numpy(zero_copy_only=False), CELLS)])
+
+    key = docs[f"`{doc_id}`"]
+    may_go = key.isNotNull() & shares_cell(F.coalesce(key.cast("long"), F.lit(0)))
+    return docs.where(~may_go).union(docs.where(may_go).join(gone, key == gone["gone"], "left_anti"))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The row of ``docs`` that is the first of each component, by id; rows without id or words stay.
 
@@ -351,15 +368,15 @@ def one_of_each(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 1
     """
     found = written(near_components(docs, words, share, text, doc_id), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(gone, docs[f"`{doc_id}`"] == gone["gone"], "left_anti")
+    rest = _without(docs, doc_id, gone)
     several = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     several = written(several.select(F.col("doc_id").alias("several")), "several")
     if several.isEmpty():  # as where ids are unique
         return rest
-    same = docs[f"`{doc_id}`"] == several["several"]
+    same = rest[f"`{doc_id}`"] == several["several"]
     (rank,) = fresh(docs, "rank")
-    worded = F.coalesce(docs[f"`{text}`"].rlike(WORD), F.lit(False))
-    order = [docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.StructType, T.ArrayType))]
-    first = Window.partitionBy(docs[f"`{doc_id}`"], worded).orderBy(docs[f"`{text}`"].asc_nulls_last(), *order)
+    worded = F.coalesce(rest[f"`{text}`"].rlike(WORD), F.lit(False))
+    order = [rest[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.StructType, T.ArrayType))]
+    first = Window.partitionBy(rest[f"`{doc_id}`"], worded).orderBy(rest[f"`{text}`"].asc_nulls_last(), *order)
     one = rest.join(several, same, "left_semi").withColumn(rank, F.row_number().over(first)).where((F.col(rank) == 1) | ~worded).drop(rank)
     return rest.join(several, same, "left_anti").unionByName(one)

@@ -52,6 +52,13 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
         _held[spark.sparkContext.applicationId].remove(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` returned as ``tables``; nothing may read it any more."""
+    for table in tables:
+        folders = {file.rpartition("/")[0].rpartition("/")[2] for file in table.inputFiles()}
+        release(table.sparkSession, [path for path in held(table.sparkSession) if path.rpartition("/")[2] in folders])
+
+
 def reads_only(df: DataFrame) -> list[str] | None:
     """The files of a frame that is a table as it was read; None for any other plan."""
     plan = df._jdf.queryExecution().optimizedPlan()
